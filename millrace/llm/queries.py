@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import lookalikes, spam_pages
+from millrace.llm import eval_leaks, lookalikes, spam_pages
 from millrace.sources.tables import table
 
 
@@ -27,9 +27,13 @@ def p3_queries(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", lookalikes.canonical(F.col("original_text"), patterns).alias("original_text"), lookalikes.canonical(F.col("normalized_text"), patterns).alias("normalized_text"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return eval_leaks.eval_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages.spam_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_queries": p3_queries, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_queries": p3_queries, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -11,6 +11,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -194,8 +195,6 @@ def code_point_counts(texts: DataFrame) -> dict[int, int]:
 
 def canonical(col: Column, patterns: Mapping[str, str]) -> Column:
     """The text in its consistent form; null stays null, empty stays empty."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         rewrite = Rewriter(patterns)

@@ -5,10 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import eval_leaks, lookalikes, spam_pages
+from millrace.llm import eval_leaks, lookalikes, spam_pages, splitting
 from millrace.sources.tables import table
 
 
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """The pieces of all oversized chunks."""
+    key = ["access_zone_id", "chunk_id"]
+    profiles = table(spark, d, "size_profiles").select("profile_version", "granularity", "max_tokens", "overlap")
+    chunks = table(spark, d, "generated_chunks").where("content IS NOT NULL AND granularity != 'SOURCE' AND id IS NOT NULL AND access_zone_id IS NOT NULL")
+    chunks = chunks.select(F.lower("access_zone_id").alias("access_zone_id"), F.lower("id").alias("chunk_id"), "profile_version", "granularity", "content", "source_block_ids").join(profiles, ["profile_version", "granularity"])
+    over = chunks.where(splitting.count_tokens(F.col("content")) > F.col("max_tokens"))
+    # a repeated row counts once
+    over = over.groupBy(*key).agg(F.max_by(F.struct("content", "source_block_ids", "max_tokens", "overlap"), F.xxhash64("content", "source_block_ids")).alias("row")).select(*key, "row.*")
+    tails = splitting.block_tails(over, key, "source_block_ids", table(spark, d, "text_segments"), "access_zone_id", "block_id", "text")
+    return splitting.split_oversized(over.join(tails, key, "left"), key, tails="tails")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_pieces(spark, d).where("piece_no = 0").select("access_zone_id", "chunk_id")
+
+
 def _p3_rows(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "normalized_queries").select(F.lit("normalized_queries").alias("table_name"), F.col("query_id").alias("key"), F.col("original_text").alias("text"))
     c = table(spark, d, "generated_chunks").select(F.lit("generated_chunks").alias("table_name"), F.concat(F.lower("access_zone_id"), F.lit("/"), F.lower("id")).alias("key"), F.col("content").alias("text"))
@@ -35,5 +52,5 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages.spam_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_queries": p3_queries, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_queries": p3_queries, "p7_found": p7_found, "p8_found": p8_found}
 SQL: dict[str, str] = {}

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import eval_leaks, lookalikes, spam_pages, splitting
+from millrace.llm import eval_leaks, lookalikes, packing, spam_pages, splitting
 from millrace.sources.tables import table
 
 
@@ -44,6 +46,18 @@ def p3_queries(spark: SparkSession, d: str) -> DataFrame:
     return q.select("query_id", lookalikes.canonical(F.col("original_text"), patterns).alias("original_text"), lookalikes.canonical(F.col("normalized_text"), patterns).alias("normalized_text"))
 
 
+#: The vocabulary that sizes documents; any file of the same form will do.
+VOCABULARY = os.environ.get("MILLRACE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
+def p6_packed(spark: SparkSession, d: str) -> DataFrame:
+    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "context_windows"), VOCABULARY)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill(p6_packed(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return eval_leaks.eval_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -52,5 +66,10 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages.spam_pages(table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_queries": p3_queries, "p7_found": p7_found, "p8_found": p8_found}
-SQL: dict[str, str] = {}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_queries": p3_queries, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
+_WHITE = r"[\t-\r\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+SQL: dict[str, str] = {
+    "p2_found": f"""
+SELECT DISTINCT lower(access_zone_id) AS access_zone_id, lower(id) AS chunk_id FROM generated_chunks JOIN size_profiles USING (profile_version, granularity)
+WHERE content IS NOT NULL AND granularity <> 'SOURCE' AND len(list_filter(regexp_split_to_array(content, '{_WHITE}'), lambda x: x <> '')) > max_tokens""",
+}

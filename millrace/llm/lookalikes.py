@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import write_work
+
 # Letters drawn alike in common typefaces, Latin letter first, then its Cyrillic and Greek doubles.
 LOOKALIKES = """
 A АΑ
@@ -232,7 +234,7 @@ def lookalike_pairs(rows: DataFrame, patterns: Mapping[str, str] | None = None)
     are no cases; empty texts look like texts of invisible characters only.
     """
     patterns = rewriting(code_point_counts(rows.select("text"))) if patterns is None else patterns
-    keys = text_prints(rows, patterns).distinct()
+    keys = write_work(text_prints(rows, patterns).distinct(), "prints")  # read four times; the texts only once
     texts = keys.select("table_name", "canon", "raw").distinct()
     mixed = texts.groupBy("table_name", "canon").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("table_name", "canon")
     some = texts.join(mixed, ["table_name", "canon"], "left_semi")

@@ -70,14 +70,14 @@ def hydrate(candidates: DataFrame, bindings: DataFrame, chunks: DataFrame, versi
 
     In order: BINDING_INVALID (binding or chunk missing or at odds with the candidate), HYDRATION_MISSING (parent or document
     version missing), BINDING_INVALID (parent at odds), VISIBILITY_REJECTED, EMPTY_CONTEXT, HYDRATED."""
-    k = candidates.withColumnRenamed("chunk_id", "matched").alias("k")
+    k = candidates.withColumnRenamed("chunk_id", "matched")
     b = bindings.select("access_zone_id", "binding_id", F.struct("chunk_id", "chunk_granularity", "document_id", "document_version", "parent_chunk_id", "representation_type", "access_level", "lifecycle_status", "qdrant_sync_status", "expires_at").alias("b"))
     one = chunks.select("access_zone_id", "chunk_id", F.struct("document_id", "document_version", "parent_id", "root_id", "granularity", "lifecycle_status", "content", F.lit(True).alias("there")).alias("c"))
     m = one.select("access_zone_id", F.col("chunk_id").alias("matched"), F.col("c").dropFields("content").alias("m"))
     p = one.select("access_zone_id", F.col("chunk_id").alias("parent_chunk_id"), F.col("c").alias("p"))
-    d = versions.select("access_zone_id", F.col("document_id").alias("d_id"), F.col("document_version").alias("d_version"), F.struct("status", "lifecycle_status").alias("d"))
+    d = versions.select(F.col("access_zone_id").alias("d_zone"), F.col("document_id").alias("d_id"), F.col("document_version").alias("d_version"), F.struct("status", "lifecycle_status").alias("d"))
     j = k.join(b, ["access_zone_id", "binding_id"], "left").join(m, ["access_zone_id", "matched"], "left").join(p, ["access_zone_id", "parent_chunk_id"], "left")
-    j = j.join(d, (j["access_zone_id"] == d["access_zone_id"]) & (F.col("p.document_id") == F.col("d_id")) & (F.col("p.document_version") == F.col("d_version")), "left").drop(d["access_zone_id"]).drop("d_id", "d_version")
+    j = j.join(d, (F.col("access_zone_id") == F.col("d_zone")) & (F.col("p.document_id") == F.col("d_id")) & (F.col("p.document_version") == F.col("d_version")), "left").drop("d_zone", "d_id", "d_version")
     sub, par = F.col("granularity").isin("SUB_180", "SUB_260"), F.col("granularity") == "PARENT"
     ne = lambda a, x: F.col(a) != F.col(x)
     distinct = lambda a, x: ~F.col(a).eqNullSafe(F.col(x))

@@ -37,21 +37,18 @@ def token_rows(texts: DataFrame, key: list[str], text: str) -> DataFrame:
 
     Matches are exploded before they are worked on, so that trimming and variants are compiled column code."""
     t = F.coalesce(F.col(text), F.lit(""))
-    classes = F.array(*[F.struct(F.lit(n).alias("class"), F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)).alias("hits")) for n, (p, _) in CLASSES.items()])
-    raw = texts.select(*key, F.inline(classes)).select(*key, "class", F.explode("hits").alias("raw"))
-    trimmed = raw.select(*key, "class", F.regexp_replace("raw", f"^{_EDGE}+|{_EDGE}+$", "").alias("raw"))
-    lower, c = _ascii_lower(F.col("raw")), F.col("class")
-    first = trimmed.select(*key, "class", F.when(c.isin("ordinary_word", "uuid"), lower).otherwise(F.col("raw")).alias("token"), lower.alias("lower"))
-    first = first.where((F.col("token") != "") & ~((c == "ordinary_word") & F.col("token").isin(STOP_WORDS)))
-    token, s = F.col("token"), stem(F.col("token"))
+    classes = F.array(*[F.struct(F.lit(n).alias("class_"), F.regexp_extract_all(t, F.lit("(?U)" + p), F.lit(0)).alias("hits_")) for n, (p, _) in CLASSES.items()])
+    raw = texts.select(*key, F.inline(classes)).select(*key, "class_", F.explode("hits_").alias("raw_"))
+    trimmed = raw.select(*key, "class_", F.regexp_replace("raw_", f"^{_EDGE}+|{_EDGE}+$", "").alias("raw_"))
+    c, token, lower = F.col("class_"), F.col("token_"), F.col("lower_")
+    first = trimmed.withColumn("lower_", _ascii_lower(F.col("raw_"))).withColumn("token_", F.when(c.isin("ordinary_word", "uuid"), lower).otherwise(F.col("raw_")))
+    first = first.where((token != "") & ~((c == "ordinary_word") & token.isin(STOP_WORDS)))
+    none, s = F.array().cast("array<string>"), stem(token)
     stems = F.when((c == "ordinary_word") & (s != token) & ~s.isin(STOP_WORDS), F.array(s))
-    folded = F.when(c.isin(*_FOLDED) & (F.col("lower") != token), F.array("lower"))
-    parts = F.when(c.isin("underscore_identifier"), F.split("lower", "_")).when(c.isin("path"), F.split("lower", "/")).when(c.isin("grpc_method"), F.split("token", "/"))
-    none = F.array().cast("array<string>")
-    more = F.concat(F.coalesce(stems, none), F.coalesce(folded, none), F.coalesce(parts, none))
-    every = first.select(*key, "class", "token", "lower", F.posexplode(F.concat(F.array("token"), more)).alias("i", "t"))
-    whole = (F.col("i") == 0) | (F.col("t") == F.col("lower")) & (c.isin(*_FOLDED)) & (F.col("i") == 1) & (F.col("lower") != token)
-    return every.where(whole | (F.col("t") != token) & (F.octet_length("t") >= F.when(c == "ordinary_word", 1).otherwise(2))).select(*key, "class", F.col("t").alias("token"))
+    folded = F.when(c.isin(*_FOLDED) & (lower != token), F.array(lower))
+    parts = F.when(c == "underscore_identifier", F.split(lower, "_")).when(c == "path", F.split(lower, "/")).when(c == "grpc_method", F.split(token, "/"))
+    parts = F.filter(parts, lambda p: (F.octet_length(p) >= 2) & (p != token))
+    return first.select(*key, c.alias("class"), F.explode(F.concat(F.array(token), *[F.coalesce(x, none) for x in (stems, folded, parts)])).alias("token"))
 
 
 def base_weight(token_class: Column) -> Column:

@@ -29,8 +29,8 @@ def normalize(a: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """0 for unequal lengths, empty and zero vectors; within [-1, 1]."""
     n = norm(a) * norm(b)
-    raw = dot(a, b) / F.nullif(n, F.lit(0.0))
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+    usable = (F.size(a) == F.size(b)) & (F.size(a) > 0) & (n > 0)  # least and greatest skip nulls, so nulls go first
+    return F.when(usable, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(n, F.lit(0.0))))).otherwise(0.0)
 
 
 def sparse_dot(ai: Column, av: Column, bi: Column, bv: Column) -> Column:

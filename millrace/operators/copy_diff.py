@@ -23,8 +23,8 @@ _HASHES = 3
 def json_value(col: Column) -> Column:
     """One text for equal JSON values: keys sorted, spacing dropped, equal numbers alike. Text that is no JSON stays."""
     v = F.to_json(F.try_parse_json(col))
-    # 1.0 and 1.50 are the values 1 and 1.5; digits inside strings are not touched
-    v = F.regexp_replace(v, r'((?:^|[\[:,])-?\d+)\.0+(?=[,\]}]|$)', "$1")
+    # 1.0 is the value 1; strings are matched first, so that digits inside them are not touched
+    v = F.regexp_replace(v, r'("(?:[^"\\]|\\.)*")|(-?\d+)\.0+(?=[,\]}]|$)', "$1$2")
     return F.coalesce(v, col)
 
 

@@ -71,6 +71,7 @@ def best_per_group(hits: DataFrame, group: Sequence[str], order: Sequence[Column
 def relevance(dense: Column, sparse: Column, lexical: Column, consistency: Column) -> Column:
     """struct<fused, final, decision>."""
     unit = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    dense, sparse, lexical = (F.coalesce(c, F.lit(0.0)) for c in (dense, sparse, lexical))
     fused = unit(0.55 * F.greatest(dense, F.lit(0.0)) + 0.25 * unit(sparse) + 0.20 * lexical)
     c = F.coalesce(consistency, F.lit(0.0))
     final = F.when(c > 0, unit(0.8 * fused + 0.2 * c)).otherwise(fused)

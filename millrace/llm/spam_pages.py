@@ -26,7 +26,7 @@ _WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
 _EDGES = "\"'`.,;:!?…()[]{}<>«»“”„‘’|/\\*#@&+=~^_-–—•·$%\u00a1\u00bf"
 _TAG = re.compile(r"<[^<>\n]{1,2000}>")
 _FENCE = re.compile(r"^\s*(?:```|~~~)")
-_CODE = re.compile(r"[;{}]\s*$|^\s*(?:let|var|const|for|if|while|return|def|class|function|import|from|select|insert|update|delete|create)\b.*[=(){}<>,;:]|^[\w./-]*[_.][\w./-]*\s*[:=]\s*\S+\s*$|\w\([^()]*\)\s*;?\s*$", re.IGNORECASE)
+_CODE = re.compile(r"[=(){}\[\]].*[;{}]\s*$|^\s*[{}]\s*$|^\s*(?:let|var|const|for|if|while|return|def|class|function|import|from|select|insert|update|delete|create)\b.*[=(){}<>,;:]|^[\w./-]*[_.][\w./-]*\s*[:=]\s*\S+\s*$|\w\([^()]*\)\s*;?\s*$", re.IGNORECASE)
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|^\W*\d{4}-\d\d-\d\d[T ]|^\W*(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b")
 _LINK_TARGET = re.compile(r"\]\([^()\s]*\)")
 _DIGITS = re.compile(r"\d+")

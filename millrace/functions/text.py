@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters with Unicode's White_Space property, for Java's and Python's regular expressions.
-WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: White space (Unicode's White_Space property) and its complement, for Java's regular expressions.
+WHITE, SOLID = r"(?U)\s++", r"(?U)\S++"
 #: Name space of URLs, in which name-based identifiers are made.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 #: Prefix that keeps sparse indices apart from those of other hashes.
@@ -15,7 +15,7 @@ SPARSE_NAMESPACE = "millrace:sparse:v1:"
 
 def normalize_space(t: Column) -> Column:
     """Runs of white space become one blank, none at the ends."""
-    return F.trim(F.regexp_replace(t, f"[{WHITE}]+", " "))
+    return F.trim(F.regexp_replace(t, WHITE, " "))
 
 
 def sha256_hex(t: Column) -> Column:
@@ -33,13 +33,13 @@ def uuid5(name: Column, namespace: str = URL_NAMESPACE) -> Column:
 
 def count_words(t: Column) -> Column:
     """Words between white space; null text has none."""
-    return F.coalesce(F.regexp_count(t, F.lit(f"[^{WHITE}]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(t, F.lit(SOLID)), F.lit(0))
 
 
 def sentences(t: Column) -> Column:
     """Cut behind every . ! ? and line feed, terminator kept, trimmed, empty ones dropped."""
     parts = F.regexp_extract_all(t, F.lit(r"[^.!?\n]*[.!?\n]|[^.!?\n]+$"), F.lit(0))
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, f"^[{WHITE}]+|[{WHITE}]+$", ""))
+    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
     return F.filter(trimmed, lambda s: s != "")
 
 
@@ -85,7 +85,7 @@ def days_after(t: Column, days: Column) -> Column:
 
 def word_set(t: Column) -> Column:
     """The distinct words of a text in lower case."""
-    return F.array_distinct(F.filter(F.split(F.lower(t), f"[{WHITE}]+"), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.split(F.lower(t), WHITE), lambda w: w != ""))
 
 
 def lexical_overlap(query: Column, text: Column) -> Column:

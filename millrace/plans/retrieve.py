@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from millrace.operators import graph, ranking, search, serving
 from millrace.operators.chunking import chunk_segments, document_trace
 from millrace.operators.upserts import as_events
+from millrace.storage import write_work
 
 _Z = ["access_zone_id", "chunk_id"]
 
@@ -43,6 +44,7 @@ def stages(queries: DataFrame, chunks: DataFrame, bindings: DataFrame, versions:
     o = options or Options()
     visible = serving.visible_chunks(chunks, bindings, versions, o.level, o.as_of).where("granularity IN ('PARENT', 'SUB_180', 'SUB_260')")
     hits = search.lexical_topk(queries, visible.withColumnRenamed("content", "text"), o.candidates, "query_id", _Z)
+    hits = write_work(hits, "hits")  # every later stage builds on it; at most `candidates` rows a query
     fused = ranking.hybrid_rrf(hits.withColumn("branch", F.lit("LEXICAL")), _Z)
     bound = bindings.where("representation_type = 'ORIGINAL' AND qdrant_sync_status = 'SYNCED'").groupBy(*_Z).agg(F.max("binding_id").alias("binding_id"))
     where = chunks.select(*_Z, F.coalesce("parent_id", "chunk_id").alias("parent_chunk_id"), "granularity")

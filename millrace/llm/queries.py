@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm import eval_leaks, lookalikes, packing, spam_pages, splitting
 from millrace.sources.tables import table
+from millrace.storage import write_work
 
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
@@ -20,6 +21,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     over = chunks.where(splitting.count_tokens(F.col("content")) > F.col("max_tokens"))
     # a repeated row counts once
     over = over.groupBy(*key).agg(F.max_by(F.struct("content", "source_block_ids", "max_tokens", "overlap"), F.xxhash64("content", "source_block_ids")).alias("row")).select(*key, "row.*")
+    over = write_work(over, "oversized")  # used for the blocks and for the cuts; the other chunks are read only once
     tails = splitting.block_tails(over, key, "source_block_ids", table(spark, d, "text_segments"), "access_zone_id", "block_id", "text")
     return splitting.split_oversized(over.join(tails, key, "left"), key, tails="tails")
 

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 
 # Common function words of five languages.
 FUNCTION_WORDS = {
-    "en": "the a an our your their its this that these those all some most both many any each every of in on at to for from with by and or but so because until while whereas although unless if after before under within near is are was were be not which who when as into than it we they no".split(),
-    "de": "der die das den dem des ein eine einen einem einer unsere alle viele manche einige beide diese und oder aber dass damit weil während obwohl bis sobald wenn nach vor unter bei für auf in im an mit ohne gegen durch über zu von ist sind nicht wie als sich".split(),
-    "es": "el la los las un una unos nuestros todos algunos muchos varios ambos estos este esta y o pero porque mientras cuando aunque si según en de del a al por para con sin contra sobre entre ante tras cerca es son que se no su como más".split(),
-    "fr": "le la les un une des nos notre leurs leur ses ces cette tous certains plusieurs quelques et ou mais quand tandis que parce dès si pourtant après selon à au aux de du en pour avec sans contre entre derrière malgré près dans par sur est sont ne pas qui".split(),
-    "ru": "и или но что чтобы когда пока хотя если потому как в во на по при из от до для около через без после с со у за над под о об не наши все многие некоторые любые такие эти оба его её их это есть был были".split(),
+    "en": "the a an our your their its this that these all some most both both many of in on at to for with by and or but because until while after under within near is are not if".split(),
+    "de": "der die das den dem des ein eine unsere alle viele manche einige beide diese und oder aber dass damit während bis wenn nach vor unter bei für auf in im mit ohne von ist nicht".split(),
+    "es": "el la los las un una nuestros todos algunos muchos varios ambos estos y o pero porque mientras cuando si según en de del a al por para con sin entre tras es que no se".split(),
+    "fr": "le la les un une des nos leurs ces tous certains plusieurs quelques et ou mais quand tandis que si après selon à au de du en pour avec sans entre près dans par est ne qui".split(),
+    "ru": "и или но что чтобы когда пока если потому как в на по при из от для до около через без после с за об не наши все многие некоторые любые такие эти оба их это".split(),
 }
 _WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
 _EDGES = "\"'`.,;:!?…()[]{}<>«»“”„‘’|/\\*#@&+=~^_-–—•·$%\u00a1\u00bf"

@@ -95,3 +95,14 @@ def learned_weights(rows: DataFrame, key: list[str], ids: str, weights: str, mas
     if special:
         keep = keep & ~F.col("index").isin(special)
     return z.where(keep).groupBy(*key, "index").agg(F.max("weight").alias("weight"))
+
+
+def lexical_weights(rows: DataFrame, key: list[str], text: str, ids: str, mask: str, special: list[int], min_weight: float = 0.0) -> DataFrame:
+    """(*key, index, weight): frequencies of a tokenizer's ids (masked and special ones dropped), 1 + ln tf each, added to
+    the technical weights of the text; vectors() normalizes them."""
+    z = rows.select(*key, F.explode(F.arrays_zip(F.col(ids).alias("i"), F.col(mask).alias("m"))).alias("z")).where("z.m != 0")
+    if special:
+        z = z.where(~F.col("z.i").isin(special))
+    tf = z.groupBy(*key, F.col("z.i").cast("bigint").alias("index")).agg((1 + F.log(F.count("*"))).alias("weight"))
+    both = tf.where(F.col("weight") > min_weight).unionByName(term_weights(rows, key, text, min_weight))
+    return both.groupBy(*key, "index").agg(F.sum("weight").alias("weight"))

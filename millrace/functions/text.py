@@ -108,3 +108,19 @@ def truncated(indices_values: Column, n: int) -> Column:
     """Of (index, weight) pairs the n heaviest (ties by index), in order of index."""
     heavy = F.array_sort(indices_values, lambda a, b: F.when(a["weight"] != b["weight"], F.when(a["weight"] > b["weight"], -1).otherwise(1)).when(a["index"] < b["index"], -1).when(a["index"] > b["index"], 1).otherwise(0))
     return F.array_sort(F.slice(heavy, 1, n))
+
+
+def holds_phrase(t: Column, phrase: Column) -> Column:
+    """whether the text holds the phrase, whatever the case; null texts hold nothing."""
+    return F.coalesce(F.contains(F.lower(t), F.lower(phrase)), F.lit(False))
+
+
+def is_zone_code(c: Column) -> Column:
+    """exactly four digits."""
+    return F.coalesce(c.rlike(r"^[0-9]{4}\z"), F.lit(False))
+
+
+def unique_links(links: Column) -> Column:
+    """array<struct<type, url, ...>> without links whose type and url came before; the first of them stays."""
+    keys = F.transform(links, lambda x: F.struct(x["type"], x["url"]))
+    return F.filter(links, lambda x, i: F.array_position(keys, F.struct(x["type"], x["url"])) == i + 1)

@@ -198,6 +198,14 @@ def mmr(rows: DataFrame, key: str, select: int, lam: float = 0.75, cap: int = 80
     return some.groupBy(query).applyInPandas(choose, f"`{query}` {kinds[query]}, `{key}` {kinds[key]}, score double, mmr_score double, position int")
 
 
+def lexical_needed(queries: DataFrame, sparse_hits: DataFrame, least_hits: int = 10, least_score: float = 0.10, query: str = "query_id") -> DataFrame:
+    """R15 (CONTRACT; reading the two limits as alternatives is INFERRED): the queries whose sparse branch found too few
+    candidates, or only weak ones, and which therefore take the lexical branch too."""
+    g = sparse_hits.groupBy(query).agg(F.count("*").alias("n_"), F.max("score").alias("top_"))
+    weak = F.col("n_").isNull() | (F.col("n_") < least_hits) | (F.col("top_") < least_score)
+    return queries.join(g, query, "left").where(weak).drop("n_", "top_")
+
+
 def fetch_window(candidates: Column, final: Column, reserve: int, reserve_max: int, cap: int) -> Column:
     """How many candidates to hydrate."""
     return F.least(F.greatest(candidates, final + min(reserve, reserve_max)), F.greatest(F.lit(cap), final))

@@ -126,3 +126,9 @@ def recheck(results: DataFrame, bindings: DataFrame, chunks: DataFrame, versions
     j = results.join(m, [*ZONE_CHUNK, "parent_chunk_id"]).join(p, ["access_zone_id", "parent_chunk_id", "document_id", "document_version"], "left_semi").join(d, ["access_zone_id", "document_id", "document_version"], "left_semi").join(b, ["access_zone_id", "binding_id"], "left")
     agrees = (F.col("b_chunk_id") == F.col("chunk_id")) & (F.col("b_document_id") == F.col("document_id")) & (F.col("b_document_version") == F.col("document_version")) & F.col("b_parent_chunk_id").eqNullSafe(F.col("parent_id"))
     return j.where(F.col("binding_id").isNull() | F.coalesce(agrees, F.lit(False))).select(*results.columns)
+
+
+def index_payload(bindings: DataFrame) -> DataFrame:
+    """what the index keeps of a binding, typed, with the sentinel for an expiry that never comes."""
+    epoch = F.coalesce(F.floor(F.unix_micros("expires_at") / F.lit(1_000_000)), F.lit(NEVER_EPOCH)).cast("bigint")
+    return bindings.select("access_zone_id", "qdrant_point_id", "binding_id", "chunk_id", F.coalesce("parent_chunk_id", "chunk_id").alias("parent_chunk_id"), "document_id", "document_version", F.col("chunk_granularity").alias("granularity"), "representation_type", "access_level", "lifecycle_status", "qdrant_sync_status", epoch.alias("expires_at_epoch"), "payload_version", "model_version", "metadata")

@@ -48,6 +48,11 @@ def scan_counts(spark: SparkSession, d: str) -> DataFrame:
     return g.withColumn("ready", (F.col("synced") == F.col("expected")) & (F.col("missing_points") == 0))
 
 
+def scan_payloads(spark: SparkSession, d: str) -> DataFrame:
+    """the payload of every current binding."""
+    return serving.index_payload(views.bindings(spark, d)).drop("metadata")
+
+
 def visible_index(spark: SparkSession, d: str) -> DataFrame:
     """F01-F03, F06 over the index."""
     return serving.index_filter(views.points(spark, d), 2, AS_OF_EPOCH, equal={"qdrant_sync_status": "SYNCED", "binding_id": ""}).select("access_zone_id", "qdrant_point_id", "chunk_id")
@@ -130,7 +135,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_summary(e).withColumn("class", graph.relation_class(F.col("relation_type")))
 
 
-QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_structure, graph_tables, graph_blocks, graph_fan_out, graph_summary)}
+QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, scan_payloads, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_structure, graph_tables, graph_blocks, graph_fan_out, graph_summary)}
 
 _T = f"TIMESTAMPTZ '{AS_OF}+00'"
 _LIVE_VERSION = "SELECT access_zone_id, document_id, document_version FROM versions WHERE status = 'ACTIVE' AND lifecycle_status = 'ACTIVE'"
@@ -166,6 +171,8 @@ SQL = {
     + """, g AS (SELECT b.access_zone_id, b.document_id, b.document_version, count(*) AS expected, count(*) FILTER (WHERE b.qdrant_sync_status = 'SYNCED') AS synced, count(*) FILTER (WHERE b.qdrant_sync_status IN ('PENDING', 'UPDATE_PENDING', 'DELETE_PENDING')) AS pending,
   count(*) FILTER (WHERE b.qdrant_sync_status = 'FAILED') AS failed, count(*) FILTER (WHERE p.qdrant_point_id IS NULL) AS missing_points FROM bindings b LEFT JOIN points p ON p.access_zone_id = b.access_zone_id AND p.qdrant_point_id = b.qdrant_point_id GROUP BY ALL)
 SELECT *, synced = expected AND missing_points = 0 AS ready FROM g""",
+    "scan_payloads": views.with_tables("bindings")
+    + " SELECT access_zone_id, qdrant_point_id, binding_id, chunk_id, coalesce(parent_chunk_id, chunk_id) AS parent_chunk_id, document_id, document_version, chunk_granularity AS granularity, representation_type, access_level, lifecycle_status, qdrant_sync_status, coalesce(CAST(floor(epoch_us(expires_at) / 1000000) AS BIGINT), 253402300799) AS expires_at_epoch, payload_version, model_version FROM bindings",
     "visible_index": views.with_tables("points") + f" SELECT access_zone_id, qdrant_point_id, chunk_id FROM points WHERE access_level <= 2 AND lifecycle_status = 'ACTIVE' AND expires_at_epoch > {AS_OF_EPOCH} AND qdrant_sync_status = 'SYNCED'",
     "visible_text": views.with_tables("bindings", "chunks", "versions")
     + f" SELECT access_zone_id, chunk_id, document_id, document_version FROM chunks c WHERE lifecycle_status = 'ACTIVE' AND (access_zone_id, document_id, document_version) IN ({_LIVE_VERSION.replace('SELECT access_zone_id, document_id, document_version', 'SELECT (access_zone_id, document_id, document_version)')}) AND EXISTS (SELECT 1 FROM bindings b WHERE b.access_zone_id = c.access_zone_id AND b.chunk_id = c.chunk_id AND b.access_level <= 2 AND b.lifecycle_status = 'ACTIVE' AND (b.expires_at IS NULL OR b.expires_at > {_T}))",

@@ -105,3 +105,17 @@ def test_query_plans():
     long = querytext.plan(". ".join("word " * 30 for _ in range(20)) + "?")
     assert all(s["tokens"] <= 220 for s in long["segments"]) and {t for s in long["segments"] for t in range(s["token_start"], s["token_end"])} == set(range(long["tokens"]))
     assert querytext.kind_of("The endpoint is config_file.yaml") == "TECHNICAL" and querytext.kind_of("Объясни порядок") == "QUESTION" and querytext.kind_of("Just some words.") == "CONTEXT"
+
+
+def test_phrases_codes_and_links(spark):
+    r = col(spark, ["One TWO", None, ""]).select(text.holds_phrase(F.col("t"), F.lit("e Two")).alias("p")).collect()
+    assert [x.p for x in r] == [True, False, False]
+    assert [x[0] for x in col(spark, ["0123", "12345", "12a4", None, "1234\n"]).select(text.is_zone_code(F.col("t"))).collect()] == [True, False, False, False, False]
+    d = spark.createDataFrame([([("a", "u", 1), ("a", "u", 2), ("b", "u", 3), (None, "u", 4), (None, "u", 5)],), ([],)], "l array<struct<type:string,url:string,n:int>>")
+    assert [[x.n for x in r[0]] for r in d.select(text.unique_links(F.col("l"))).collect()] == [[1, 3, 4], []]
+
+
+def test_lexical_weights(spark):
+    d = spark.createDataFrame([(1, "ERR-12", [5, 5, 7, 0], [1, 1, 0, 1])], "k int, t string, i array<int>, m array<int>")
+    got = {r["index"]: round(r.weight, 6) for r in sparse.lexical_weights(d, ["k"], "t", "i", "m", [0]).collect()}
+    assert got[5] == round(1 + math.log(2), 6) and 7 not in got and 0 not in got and len(got) > 1

@@ -112,3 +112,9 @@ def test_trace(spark):
     s = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
     got = {r.k: (r.passed, r.dropped_at) for r in ranking.stage_trace({"a": s("x", "y", "x"), "b": s("x"), "c": s("x")}, ["k"]).collect()}
     assert got == {"x": (["a", "b", "c"], None), "y": (["a"], "b")}
+
+
+def test_lexical_branch_is_needed_where_the_sparse_one_is_weak(spark):
+    q = spark.createDataFrame([(1,), (2,), (3,)], "query_id int")
+    h = spark.createDataFrame([(1, 0.5)] * 12 + [(2, 0.05)] * 12, "query_id int, score double")
+    assert {r.query_id for r in ranking.lexical_needed(q, h).collect()} == {2, 3}

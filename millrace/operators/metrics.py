@@ -36,16 +36,22 @@ def ratio(part: Column, whole: Column) -> Column:
 
 
 def nearest_rank_up(values: DataFrame, by: Sequence[str], value: str, ps: Sequence[float]) -> DataFrame:
-    """The element at ceil((n - 1) * p) of the sorted values, without collecting a group into one row.
+    """The element at ceil((n - 1) * p) of the sorted values, exactly.
 
-    Ranks come from counts of equal values, so a group of any size is one aggregation and a running sum over its distinct values.
-    Null values are left out; a group without values gives no row.
+    Equal values are counted before anything moves; the distinct values of a group are cut into `cells` stretches of equal width,
+    whose counts give each stretch its offset, so running sums never go over a whole group in one task.
+    Null values are left out; a group without values gives no row. Values are numbers.
     """
     by = list(by)
-    c = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    c = c.withColumns({"n": F.sum("c").over(w), "upto": F.sum("c").over(w.orderBy(value))})
-    pick = lambda p: F.min(F.when(F.col("upto") > F.ceil((F.col("n") - 1) * F.lit(p)), F.col(value))).alias(f"p{round(p * 100)}")
+    cells = 1024
+    c = values.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c_"))
+    span = c.groupBy(*by).agg(F.min(value).alias("lo_"), F.max(value).alias("hi_"), F.sum("c_").alias("n"))
+    v, lo, hi = (F.col(x).cast("double") for x in (value, "lo_", "hi_"))
+    c = c.join(span, by).withColumn("cell_", F.when(hi > lo, F.least(F.lit(cells - 1), F.floor((v - lo) / F.nullif(hi - lo, F.lit(0.0)) * cells))).otherwise(0).cast("int"))
+    part = c.groupBy(*by, "cell_").agg(F.sum("c_").alias("s_"))
+    part = part.withColumn("before_", F.sum("s_").over(Window.partitionBy(*by).orderBy("cell_")) - F.col("s_")).drop("s_")
+    c = c.join(part, [*by, "cell_"]).withColumn("upto_", F.col("before_") + F.sum("c_").over(Window.partitionBy(*by, "cell_").orderBy(value)))
+    pick = lambda p: F.min(F.when(F.col("upto_") > F.ceil((F.col("n") - 1) * F.lit(p)), F.col(value))).alias(f"p{round(p * 100)}")
     return c.groupBy(*by).agg(F.max("n").alias("n"), *[pick(p) for p in ps], F.max(value).alias("max"))
 
 

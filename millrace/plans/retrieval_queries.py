@@ -142,9 +142,10 @@ def diversified(spark: SparkSession, d: str) -> DataFrame:
 
 
 def budgeted(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of each source, newest first, within a token budget."""
-    t = table(spark, d, "documents").select("doc_id", F.col("source").alias("query_id"), "text", "updated_at")
-    return ranking.token_budget(ranking.ranked(t, ["query_id"], [F.col("updated_at").desc_nulls_last(), "doc_id"]), "text").select(F.col("query_id").alias("source"), "doc_id", "rank", "est_tokens", "used_tokens")
+    """The chunks related to each seed, best first, within a token budget."""
+    r = ranking.ranked(_related(spark, d).select("query_id", *_ID, "score", "relation_identity", "rank").withColumnRenamed("rank", "given"), ["query_id"], [F.col("score").desc(), "relation_identity"])
+    t = r.join(views.chunks(spark, d).select(*_ID, "content"), _ID, "left")
+    return ranking.token_budget(t, "content", 1500, 500).select("query_id", "relation_identity", "rank", "est_tokens", "used_tokens")
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -279,11 +280,13 @@ k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY
 SELECT query_id, access_zone_id, chunk_id, origins, top AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY top DESC, access_zone_id, chunk_id) AS INTEGER) AS rank FROM k""",
     "merge_direct_first": _APPENDED.format(room="4 - nd"),
     "merge_append": _APPENDED.format(room="least(1, 4 - nd)"),
-    "budgeted": """
-WITH r AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY updated_at DESC NULLS LAST, doc_id) AS rank FROM documents),
-e AS (SELECT *, CAST(ceil(length(coalesce(text, '')) / 3.0::DOUBLE * 1.2::DOUBLE) AS BIGINT) AS est_tokens FROM r),
-u AS (SELECT *, CAST(sum(est_tokens) OVER (PARTITION BY source ORDER BY rank) AS BIGINT) AS used_tokens FROM e)
-SELECT source, doc_id, CAST(rank AS INTEGER) AS rank, est_tokens, used_tokens FROM u WHERE used_tokens <= 5000 OR rank = 1""",
+    "budgeted": _RELATED
+    + ", "
+    + views.CTE["chunks"]
+    + """, r AS (SELECT r.*, content, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, relation_identity) AS n FROM related r LEFT JOIN chunks c ON c.access_zone_id = r.access_zone_id AND c.chunk_id = r.chunk_id),
+e AS (SELECT *, CAST(ceil(length(coalesce(content, '')) / 3.0::DOUBLE * 1.2::DOUBLE) AS BIGINT) AS est_tokens FROM r),
+u AS (SELECT *, CAST(sum(est_tokens) OVER (PARTITION BY query_id ORDER BY n) AS BIGINT) AS used_tokens FROM e)
+SELECT query_id, relation_identity, CAST(n AS INTEGER) AS rank, est_tokens, used_tokens FROM u WHERE used_tokens <= 1000 OR n = 1""",
     "eval_ir": _IR + " SELECT * FROM m",
     "eval_macro": _IR
     + """, c AS (SELECT query_id, least(count(*), 5) AS n_results FROM related GROUP BY ALL)

@@ -4,6 +4,7 @@ Order of arrival does not matter: state is keyed by binding and folded by versio
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,25 +38,45 @@ def winners(events: DataFrame) -> DataFrame:
     return rows.groupBy("access_zone_id", "binding_id", "operation_version").agg(F.max_by(F.struct("operation", "attempt_count"), F.struct("attempt_count", code)).alias("w")).select("access_zone_id", "binding_id", "w.operation", "operation_version", "w.attempt_count")
 
 
-def follow(events: DataFrame, target: str, checkpoint: str, max_attempts: int | None = None) -> StreamingQuery:
-    """Keep the changes known so far under target, a new snapshot each batch; deliveries whose attempts are used
-    up go to target/dead_letters. Batches can be repeated: folding a batch twice changes nothing, and dead letters are
-    written per batch number."""
+def follow(events: DataFrame, target: str, checkpoint: str, max_attempts: int | None = None, buckets: int = 256) -> StreamingQuery:
+    """Keep the changes known so far under target, in buckets of bindings; deliveries whose attempts are used up go to
+    target/dead_letters. A batch rewrites only the buckets it touches, and its last rename makes all of them current at once.
+    Batches can be repeated: folding a batch twice changes nothing, and dead letters are written per batch number."""
 
     def batch(df: DataFrame, number: int) -> None:
         spark = df.sparkSession
         good = df
         if max_attempts is not None:
-            spent = (F.col("attempt_count") >= max_attempts) & (F.upper("status") != "COMPLETED")
-            df.where(F.coalesce(spent, F.lit(False))).write.mode("overwrite").parquet(f"{target}/dead_letters/batch={number}")
-            good = df.where(~F.coalesce(spent, F.lit(False)))
-        fresh = winners(good)
-        old = read_published(spark, f"{target}/changes")
-        publish(fresh if old is None else winners(fresh.unionByName(old)), f"{target}/changes")
+            spent = F.coalesce((F.col("attempt_count") >= max_attempts) & (F.upper("status") != "COMPLETED"), F.lit(False))
+            df.where(spent).write.mode("overwrite").parquet(f"{target}/dead_letters/batch={number}")
+            good = df.where(~spent)
+        bucket = F.pmod(F.xxhash64("access_zone_id", "binding_id"), F.lit(buckets)).cast("int")
+        fresh = winners(good).withColumn("bucket", bucket)
+        current = _manifest(spark, target)
+        touched = {r["bucket"] for r in fresh.select("bucket").distinct().collect()}  # at most `buckets`
+        old = [f"{current[b]}/bucket={b}" for b in touched if b in current]
+        known = fresh.drop("bucket")
+        if old:
+            known = winners(known.unionByName(spark.read.schema(known.schema).parquet(*old)))
+        place = f"{target}/data/{uuid.uuid4().hex}"
+        known.withColumn("bucket", bucket).repartition("bucket").write.partitionBy("bucket").parquet(place)
+        publish(spark.createDataFrame(sorted((current | dict.fromkeys(touched, place)).items()), "bucket int, place string").coalesce(1), f"{target}/manifest")
 
     return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _manifest(spark: SparkSession, target: str) -> dict[int, str]:
+    m = read_published(spark, f"{target}/manifest")
+    return {} if m is None else {r["bucket"]: r["place"] for r in m.collect()}
+
+
+def followed(spark: SparkSession, target: str) -> DataFrame:
+    """The changes that follow keeps: the newest place of each bucket."""
+    paths = [f"{p}/bucket={b}" for b, p in _manifest(spark, target).items()]
+    schema = "access_zone_id string, binding_id string, operation string, operation_version long, attempt_count long"
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def sessions(blocks: DataFrame, idle: str = "30 minutes") -> DataFrame:
     """Staged blocks (session_id, block_id, n_bytes, staged_at, final boolean) as sessions: (session_id, status,
     n_blocks, n_bytes, last_at). A session completes with its final block and expires when nothing came for `idle` of event

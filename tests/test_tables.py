@@ -152,7 +152,6 @@ def test_chunk_tree(spark):
 
 def test_stream_of_changes(spark, tmp_path):
     from millrace.operators.change_feed import apply_changes
-    from millrace.storage import read_published
 
     rows = [(str(i), "Z", f"B{i % 5}", ["UPSERT_POINT", "update_payload ", "DELETE_POINT"][i % 3], i // 2, i % 4, "FAILED" if i == 3 else "COMPLETED", None, 0, None, ts(2025, 1, 1, i % 24)) for i in range(40)]
     d = spark.createDataFrame(rows, changes.EVENT)
@@ -161,7 +160,7 @@ def test_stream_of_changes(spark, tmp_path):
     changes.follow(changes.read_events(spark, src, 1), f"file://{out}", cp, max_attempts=3).awaitTermination()
     d.where("id % 2 = 1").coalesce(1).write.mode("append").parquet(src)
     changes.follow(changes.once(changes.read_events(spark, src, 1)), f"file://{out}", cp + "2", max_attempts=3).awaitTermination()
-    got = apply_changes(read_published(spark, f"file://{out}/changes")).collect()
+    got = apply_changes(changes.followed(spark, f"file://{out}")).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, apply_changes(d.where("id != 3")).collect()))
     assert [r.id for r in spark.read.parquet(f"file://{out}/dead_letters").select("id").distinct().collect()] == ["3"]
 

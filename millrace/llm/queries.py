@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import eval_leaks, lookalikes, packing, spam_pages, splitting
-from millrace.sources.tables import table
+from millrace.sources.tables import table, wide_table
 from millrace.storage import write_work
 
 
@@ -16,7 +16,7 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """The pieces of all oversized chunks."""
     key = ["access_zone_id", "chunk_id"]
     profiles = table(spark, d, "size_profiles").select("profile_version", "granularity", "max_tokens", "overlap")
-    chunks = table(spark, d, "generated_chunks").where("content IS NOT NULL AND granularity != 'SOURCE' AND id IS NOT NULL AND access_zone_id IS NOT NULL")
+    chunks = wide_table(spark, d, "generated_chunks").where("content IS NOT NULL AND granularity != 'SOURCE' AND id IS NOT NULL AND access_zone_id IS NOT NULL")
     chunks = chunks.select(F.lower("access_zone_id").alias("access_zone_id"), F.lower("id").alias("chunk_id"), "profile_version", "granularity", "content", "source_block_ids").join(profiles, ["profile_version", "granularity"])
     over = chunks.where(splitting.count_tokens(F.col("content")) > F.col("max_tokens"))
     # a repeated row counts once
@@ -32,7 +32,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _p3_rows(spark: SparkSession, d: str) -> DataFrame:
     q = table(spark, d, "normalized_queries").select(F.lit("normalized_queries").alias("table_name"), F.col("query_id").alias("key"), F.col("original_text").alias("text"))
-    c = table(spark, d, "generated_chunks").select(F.lit("generated_chunks").alias("table_name"), F.concat(F.lower("access_zone_id"), F.lit("/"), F.lower("id")).alias("key"), F.col("content").alias("text"))
+    c = wide_table(spark, d, "generated_chunks").select(F.lit("generated_chunks").alias("table_name"), F.concat(F.lower("access_zone_id"), F.lit("/"), F.lower("id")).alias("key"), F.col("content").alias("text"))
     return q.unionByName(c)
 
 
@@ -53,7 +53,7 @@ VOCABULARY = os.environ.get("MILLRACE_VOCABULARY", "/opt/tokenizers/byte_bpe_50k
 
 
 def p6_packed(spark: SparkSession, d: str) -> DataFrame:
-    return packing.packed_documents(table(spark, d, "documents"), table(spark, d, "context_windows"), VOCABULARY)
+    return packing.packed_documents(wide_table(spark, d, "documents"), table(spark, d, "context_windows"), VOCABULARY)
 
 
 def p6_fill(spark: SparkSession, d: str) -> DataFrame:
@@ -61,11 +61,11 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return eval_leaks.eval_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    return eval_leaks.eval_leaks(wide_table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return spam_pages.spam_pages(table(spark, d, "documents")).select("doc_id")
+    return spam_pages.spam_pages(wide_table(spark, d, "documents")).select("doc_id")
 
 
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_queries": p3_queries, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}

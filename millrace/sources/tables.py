@@ -21,5 +21,5 @@ def wide_table(spark: SparkSession, where: str, name: str) -> DataFrame:
     cores there are: its rows are dealt out to all of them. Larger tables, and tables of many files, are read as they are."""
     t = table(spark, where, name)
     cores = spark.sparkContext.defaultParallelism
-    size = int(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return t.repartition(cores) if len(t.inputFiles()) < cores and size < cores * SMALL else t

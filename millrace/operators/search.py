@@ -28,11 +28,12 @@ def _blocks(queries: DataFrame, key: str, block: int) -> Iterator[list]:
             yield sorted(rows, key=lambda r: r[0])
 
 
-def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], queries: DataFrame, query_key: str, prepare: Callable, score: Callable, k: int, least: float | None = None, block: int = BLOCK) -> DataFrame:
+def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], queries: DataFrame, query_key: str, prepare: Callable, score: Callable, k: int, least: float | None = None, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
     """(query_key, *keys, score, rank): for each query the k rows with the greatest score.
 
     prepare(rows) makes the state of a block of query rows; score(state, columns) gives a matrix of rows by
     queries for the input columns of a slice, with -inf where a row is no candidate. Scores below least are no results.
+    by names keys that tell queries of one query_key apart: all rows of a query have the same values there.
     """
     keys = list(keys)
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema}
@@ -41,11 +42,13 @@ def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], que
     rows = corpus.select(*keys, *inputs)
     found = spark.createDataFrame([], schema)
     floor = None if least is None else round(least * SCALE)
+    qtype = queries.schema[query_key].dataType
 
     def mapped(shared):
         def run(batches: Iterator) -> Iterator:
             import numpy as np
             import pyarrow as pa
+            from pyspark.sql.pandas.types import to_arrow_type
 
             ids, state = shared.value
             best: list[list] = [[] for _ in ids]
@@ -70,15 +73,14 @@ def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], que
             out = [(ids[c], *name, -v / SCALE) for c, rows_ in enumerate(best) for v, name in rows_]
             if out:
                 cols = list(zip(*out, strict=True))
-                qtype = pa.int64() if isinstance(ids[0], int) else pa.string()
-                yield pa.record_batch([pa.array(cols[0], qtype), *[pa.array(v, t) for v, t in zip(cols[1:-1], ktypes, strict=True)], pa.array(cols[-1], pa.float64())], names=[query_key, *keys, "score"])
+                yield pa.record_batch([pa.array(cols[0], to_arrow_type(qtype)), *[pa.array(v, t) for v, t in zip(cols[1:-1], ktypes, strict=True)], pa.array(cols[-1], pa.float64())], names=[query_key, *keys, "score"])
 
         return run
 
     for rows_ in _blocks(queries, query_key, block):
         shared = spark.sparkContext.broadcast(([r[query_key] for r in rows_], prepare(rows_)))
         found = found.unionByName(rows.mapInArrow(mapped(shared), schema))
-    w = Window.partitionBy(query_key).orderBy(F.col("score").desc(), *keys)
+    w = Window.partitionBy(query_key, *by).orderBy(F.col("score").desc(), *keys)
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -94,7 +96,8 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, ke
     """The k rows with the greatest cosine for each query; both sides hold vectors of one length.
 
     Null, empty and zero vectors match nothing. same names a column (in both) whose values must be equal, as
-    zones must; not_self a key column that must differ from the query's key.
+    zones must; not_self a key column that must differ from the query's key. If same is a key too, query keys need
+    to be unique only within it.
     """
     usable = lambda df: df.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0))
     q = usable(queries).select(query_key, vector, *([same] if same else []))
@@ -120,7 +123,7 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, ke
 
     # a key column that is an input too must come under another name
     extra = {c: f"in_{c}" for c in inputs if c in keys}
-    return best_rows(usable(corpus).withColumns({n: F.col(c) for c, n in extra.items()}), keys, [extra.get(c, c) for c in inputs], q, query_key, prepare, score, k, least, block)
+    return best_rows(usable(corpus).withColumns({n: F.col(c) for c, n in extra.items()}), keys, [extra.get(c, c) for c in inputs], q, query_key, prepare, score, k, least, block, [same] if same in keys else [])
 
 
 def _postings(rows, ids, weights):
@@ -187,18 +190,22 @@ def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, query_key: str,
     return best_rows(rows, keys, ["words_", "whole_"], q, query_key, prepare, score, k, None, block)
 
 
-def neighbours(rows: DataFrame, group: str, key: str, vector: str, k: int = 3, least: float = 0.70, most_rows: int = 500, policy: str = "SKIP") -> DataFrame:
+def neighbours(rows: DataFrame, group: str, key: str, vector: str, k: int = 3, least: float = 0.70, most_rows: int | None = None, policy: str = "SKIP", within: int = SLICE, block: int = BLOCK) -> DataFrame:
     """For each row the k most similar other rows of its group, with cosine of at least `least`:
-    (group, source, target, score, rank).
+    (group, source, target, score, rank). Keys are unique within a group.
 
-    Only groups of at most most_rows rows are compared within: larger ones are left out (SKIP, the documented policy for
-    large documents) or end the job (FAIL), so no task holds more than most_rows vectors of a group.
+    Groups of at most `within` rows are compared in one task, larger ones in blocks of queries against all of their rows,
+    so no task holds more than `within` vectors of a group and none is left out. Only if most_rows is given are larger
+    groups left out (SKIP, the documented policy for large documents) or do they end the job (FAIL).
     """
-    ok = rows.where(F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(group, key, vector)
+    ok = rows.where(F.col(group).isNotNull() & F.col(vector).isNotNull() & F.exists(vector, lambda x: x != 0)).select(group, key, vector)
     sizes = ok.groupBy(group).agg(F.count("*").alias("n_"))
-    if policy == "FAIL":
-        sizes = sizes.withColumn("n_", F.when(F.col("n_") > most_rows, F.raise_error(F.lit("group too large to compare"))).otherwise(F.col("n_")))
-    small = ok.join(sizes.where(F.col("n_") <= most_rows).select(group), group, "left_semi")
+    if most_rows is not None:
+        if policy == "FAIL":
+            sizes = sizes.withColumn("n_", F.when(F.col("n_") > most_rows, F.raise_error(F.lit("group too large to compare"))).otherwise(F.col("n_")))
+        sizes = sizes.where(F.col("n_") <= most_rows)
+    small = ok.join(sizes.where(F.col("n_") <= within).select(group), group, "left_semi")
+    large = ok.join(sizes.where(F.col("n_") > within).select(group), group, "left_semi")
     kinds = dict(rows.dtypes)
 
     def near(f):
@@ -218,4 +225,6 @@ def neighbours(rows: DataFrame, group: str, key: str, vector: str, k: int = 3, l
         i, j, rank = i[keep], j[keep], rank[keep]
         return pd.DataFrame({group: f[group].iloc[0], "source": f[key].to_numpy()[i], "target": f[key].to_numpy()[j], "score": s[i, j] / SCALE, "rank": rank.astype("int32")})
 
-    return small.groupBy(group).applyInPandas(near, f"`{group}` {kinds[group]}, source {kinds[key]}, target {kinds[key]}, score double, rank int")
+    found = small.groupBy(group).applyInPandas(near, f"`{group}` {kinds[group]}, source {kinds[key]}, target {kinds[key]}, score double, rank int")
+    blocks = dense_topk(large.withColumnRenamed(key, "source"), large.withColumnRenamed(key, "target"), k, "source", [group, "target"], vector, same=group, least=least, not_self="target", block=block)
+    return found.unionByName(blocks.select(group, "source", "target", "score", "rank"))

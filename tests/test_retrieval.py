@@ -44,6 +44,23 @@ def test_neighbours_respects_the_group_limit(spark):
     assert {r.g for r in got} == {"a"} and all(r.source != r.target for r in got) and max(r["rank"] for r in got) == 2
 
 
+def test_neighbours_of_large_groups_are_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [("hot", i, [float(x) for x in rng.normal(size=4).round(2)]) for i in range(620)] + [("cool", i, [float(x) for x in rng.normal(size=4).round(2)]) for i in range(40)] + [(None, 1, [1.0] * 4), (None, 2, [1.0] * 4)]
+    d = spark.createDataFrame(rows, "g string, k int, v array<float>").repartition(5)
+    want = set()
+    for g, n in (("hot", 620), ("cool", 40)):
+        v = np.array([r[2] for r in rows if r[0] == g], dtype=np.float32).astype(float)
+        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        s = np.rint(v @ v.T * 1_000_000).astype(int)
+        for i in range(n):
+            best = sorted((-int(s[i, j]), j) for j in range(n) if j != i and s[i, j] >= 700_000)[:3]
+            want |= {(g, i, j, rank + 1) for rank, (_, j) in enumerate(best)}
+    for within, block in ((2048, 1024), (100, 128), (10, 128)):
+        got = search.neighbours(d, "g", "k", "v", within=within, block=block).collect()
+        assert len(got) == len(want) and {(r.g, r.source, r.target, r["rank"]) for r in got} == want
+
+
 def test_segment_fusion_takes_the_best_per_intent(spark):
     rows = [(1, "a", 0, 1, 1.0, [7]), (1, "a", 1, 2, 1.0, [7]), (1, "a", 2, 1, 0.5, []), (1, "b", 0, 1, 1.0, [7, 8]), (1, "c", 3, 0, 1.0, [])]
     got = ranking.cross_segment_rrf(spark.createDataFrame(rows, "query_id long, id string, segment_index int, rank int, weight double, intent_ids array<long>"), ["id"], 60.0).orderBy("rank").collect()

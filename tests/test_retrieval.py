@@ -28,6 +28,19 @@ def test_dense_search_equals_brute_force_whatever_the_blocks(spark):
     assert search.dense_topk(q, d.limit(0), 5, "q", ["id"], "e").count() == 0
 
 
+def test_the_flagship_search_reaches_every_row(spark, sf):
+    import __spark_entry__ as e
+
+    v = {r.vec_id: (r.label, np.array(r.embedding, dtype=float)) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    n = {i: x / np.linalg.norm(x) for i, (_, x) in v.items()}
+    want = {}
+    for q in [i for i in v if i % 20 == 0]:
+        best = sorted((-round(float(n[q] @ n[i]), 6), i) for i in v if i != q and v[i][0] == v[q][0])[:5]
+        want |= {(q, i): rank + 1 for rank, (_, i) in enumerate(best)}
+    got = {(r.query_id, r.vec_id): r["rank"] for r in e.entry(spark).collect()}
+    assert got == want and {i % 4 for _, i in got} == {0, 1, 2, 3}
+
+
 def test_sparse_and_lexical_search(spark):
     c = spark.createDataFrame([(1, [1, 2], [0.6, 0.8]), (2, [2], [1.0]), (3, [], []), (4, None, None), (5, [9], [1.0])], "id long, indices array<long>, values array<double>")
     q = spark.createDataFrame([(10, [2, 3], [1.0, 5.0]), (11, [], [])], "q long, indices array<long>, values array<double>")

@@ -116,11 +116,18 @@ def graph_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """At most three blocks under a parent and ten a document version."""
+    """At most three blocks under a parent and ten a document version, as its SQL says; graph_blocks_all has the
+    limits of the service."""
     s = views.segments(spark, d)
     return graph.select_blocks(s, graph.block_depths(s), views.chunks(spark, d), 3, 10)
 
 
+def graph_blocks_all(spark: SparkSession, d: str) -> DataFrame:
+    """The blocks that become graph nodes, within the limits of the service."""
+    s = views.segments(spark, d)
+    return graph.select_blocks(s, graph.block_depths(s), views.chunks(spark, d))
+
+
 def graph_fan_out(spark: SparkSession, d: str) -> DataFrame:
     """Containment of blocks as edges between their chunks."""
     s = views.segments(spark, d).where("parent_block_id IS NOT NULL")
@@ -135,7 +142,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_summary(e).withColumn("class", graph.relation_class(F.col("relation_type")))
 
 
-QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, scan_payloads, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_structure, graph_tables, graph_blocks, graph_fan_out, graph_summary)}
+QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, scan_payloads, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_structure, graph_tables, graph_blocks, graph_blocks_all, graph_fan_out, graph_summary)}
 
 _T = f"TIMESTAMPTZ '{AS_OF}+00'"
 _LIVE_VERSION = "SELECT access_zone_id, document_id, document_version FROM versions WHERE status = 'ACTIVE' AND lifecycle_status = 'ACTIVE'"
@@ -225,3 +232,5 @@ SELECT relation_id, source_chunk, target_chunk FROM j WHERE n <= 64""",
     "graph_summary": views.with_tables("edges")
     + f" SELECT relation_type, count(*) AS n, round(avg(CAST(relation_score AS DOUBLE)), 6) AS avg_score, round(min(CAST(relation_score AS DOUBLE)), 6) AS min_score, round(max(CAST(relation_score AS DOUBLE)), 6) AS max_score, CASE WHEN relation_type IN ({_DOMAIN}) THEN 'SEMANTIC_DOMAIN' WHEN relation_type = 'CHUNK_SEMANTIC_SIMILAR' THEN 'SEMANTIC_SIMILARITY' ELSE 'STRUCTURAL' END AS class FROM edges GROUP BY relation_type",
 }
+# the same with the limits of the service
+SQL["graph_blocks_all"] = SQL["graph_blocks"].replace("nth <= 3 ", "nth <= 100 ").replace("n <= 10", "n <= 3000")

@@ -201,3 +201,14 @@ def test_sources_and_sinks(spark, tmp_path):
     for n in (1, 2):
         records.publish_tables({"a": one, "b": one.limit(n - 1)}, target)
         assert {k: v.count() for k, v in records.read_tables(spark, target).items()} == {"a": 1, "b": n - 1}
+
+
+def test_blocks_are_cut_at_the_limits_of_the_service_only(spark, tmp_path):
+    from millrace.plans.serving_queries import QUERIES
+
+    rows = [("z", "d", 1, "top", None, "DOCUMENT", 0)] + [("z", "d", 1, f"s{i:03d}", "top", "PARAGRAPH", i) for i in range(130)] + [("z", "e", 1, f"e{i:02d}", None, "SECTION", i) for i in range(40)]
+    spark.createDataFrame(rows, "access_zone_id string, document_id string, document_version long, block_id string, parent_block_id string, block_type string, order_index int").write.parquet(f"{tmp_path}/text_segments.parquet")
+    c = "access_zone_id string, document_id string, document_version long, id string, root_id string, source_id string, parent_id string, granularity string, sequence_no int, token_count long, content string, source_block_id string, source_block_ids array<string>, profile_version string, lifecycle_status string, created_at timestamp"
+    spark.createDataFrame([], c).write.parquet(f"{tmp_path}/generated_chunks.parquet")
+    got = [r.block_id for r in QUERIES["graph_blocks_all"](spark, str(tmp_path)).collect()]
+    assert len(got) == 141 and {f"s{i:03d}" for i in range(100)} | {f"e{i:02d}" for i in range(40)} | {"top"} == set(got)

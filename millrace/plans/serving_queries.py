@@ -99,8 +99,19 @@ _RELATIONS = [*graph.DOMAIN, *graph.SIMILARITY, "CHUNK_HAS_PARENT", "CHUNK_NEXT_
 
 
 def graph_one_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Ten seeds a zone, their forty best edges in turn, scored."""
-    x = graph.one_hop(_seeds(spark, d), views.edges(spark, d), _RELATIONS, 40)
+    """Ten seeds a zone, as its SQL says, their forty best edges in turn, scored;
+    graph_one_hop_seeds expands all seeds."""
+    return _one_hop(spark, d, _seeds(spark, d))
+
+
+def graph_one_hop_seeds(spark: SparkSession, d: str) -> DataFrame:
+    """Every seed is a query of its own, its forty best edges, scored."""
+    r = table(spark, d, "related_chunks").select(F.lower("seed_access_zone_id").alias("access_zone_id"), F.lower("seed_chunk_id").alias("chunk_id")).distinct()
+    return _one_hop(spark, d, r.select(F.concat_ws("/", "access_zone_id", "chunk_id").alias("query_id"), "*", F.lit(1).alias("seed_rank")))
+
+
+def _one_hop(spark: SparkSession, d: str, seeds: DataFrame) -> DataFrame:
+    x = graph.one_hop(seeds, views.edges(spark, d), _RELATIONS, 40)
     s = graph.candidate_score(F.lit(0.8), F.col("relation_type"), F.col("relation_score").cast("double"), F.lit(1))
     return x.select("query_id", "seed_chunk_id", "chunk_id", "edge_id", "relation_type", F.round(s, 6).alias("score"), F.round(graph.legacy_score(F.lit(0.8), F.col("relation_type"), F.col("relation_score").cast("double")), 6).alias("legacy_score"))
 
@@ -142,7 +153,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_summary(e).withColumn("class", graph.relation_class(F.col("relation_type")))
 
 
-QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, scan_payloads, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_structure, graph_tables, graph_blocks, graph_blocks_all, graph_fan_out, graph_summary)}
+QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, scan_payloads, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_one_hop_seeds, graph_structure, graph_tables, graph_blocks, graph_blocks_all, graph_fan_out, graph_summary)}
 
 _T = f"TIMESTAMPTZ '{AS_OF}+00'"
 _LIVE_VERSION = "SELECT access_zone_id, document_id, document_version FROM versions WHERE status = 'ACTIVE' AND lifecycle_status = 'ACTIVE'"
@@ -234,3 +245,12 @@ SELECT relation_id, source_chunk, target_chunk FROM j WHERE n <= 64""",
 }
 # the same with the limits of the service
 SQL["graph_blocks_all"] = SQL["graph_blocks"].replace("nth <= 3 ", "nth <= 100 ").replace("n <= 10", "n <= 3000")
+SQL["graph_one_hop_seeds"] = (
+    views.with_tables("edges")
+    + f""", s AS (SELECT DISTINCT lower(seed_access_zone_id) AS access_zone_id, lower(seed_chunk_id) AS chunk_id FROM related_chunks),
+e AS (SELECT * FROM edges WHERE lifecycle_status = 'ACTIVE' AND NOT coalesce(quarantined, false) AND source_node_type = 'CHUNK' AND target_node_type = 'CHUNK' AND relation_type IN ({_DOMAIN}, 'CHUNK_SEMANTIC_SIMILAR', 'CHUNK_HAS_PARENT', 'CHUNK_NEXT_SIBLING')),
+c AS (SELECT s.*, e.edge_id, relation_type, relation_score, relation_source, relation_rank, target_node_id AS related_id FROM s JOIN e ON e.access_zone_id = s.access_zone_id AND e.source_node_id = s.chunk_id
+  UNION ALL SELECT s.*, e.edge_id, relation_type, relation_score, relation_source, relation_rank, source_node_id FROM s JOIN e ON e.access_zone_id = s.access_zone_id AND e.target_node_id = s.chunk_id WHERE relation_type IN ('CHUNK_SAME_TABLE', 'CHUNK_SEMANTIC_SIMILAR', 'RELATED_TO')),
+x AS (SELECT *, row_number() OVER (PARTITION BY access_zone_id, chunk_id ORDER BY {_ORDER}) AS n FROM c)
+SELECT access_zone_id || '/' || chunk_id AS query_id, chunk_id AS seed_chunk_id, related_id AS chunk_id, edge_id, relation_type, round(0.8::DOUBLE * CAST(relation_score AS DOUBLE) * {_CASE(graph.WEIGHTS, 0.6)}, 6) AS score, round(0.8::DOUBLE * {_CASE(graph.BOOSTS, 0.5)} * CAST(relation_score AS DOUBLE), 6) AS legacy_score FROM x WHERE n <= 40 AND chunk_id <> related_id"""
+)

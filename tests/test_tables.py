@@ -212,3 +212,14 @@ def test_blocks_are_cut_at_the_limits_of_the_service_only(spark, tmp_path):
     spark.createDataFrame([], c).write.parquet(f"{tmp_path}/generated_chunks.parquet")
     got = [r.block_id for r in QUERIES["graph_blocks_all"](spark, str(tmp_path)).collect()]
     assert len(got) == 141 and {f"s{i:03d}" for i in range(100)} | {f"e{i:02d}" for i in range(40)} | {"top"} == set(got)
+
+
+def test_every_seed_of_a_zone_is_expanded(spark, tmp_path):
+    from millrace.plans.serving_queries import QUERIES
+
+    spark.createDataFrame([("Z", f"S{i:02d}") for i in range(60)] * 2, "seed_access_zone_id string, seed_chunk_id string").write.parquet(f"{tmp_path}/related_chunks.parquet")
+    rows = [("z", f"e{i:02d}", "CHUNK", f"s{i:02d}", "CHUNK", f"t{i:02d}", "EXPLAINS", 0.5, "Q", 1, "ACTIVE", False, "d") for i in range(60)]
+    e = "access_zone_id string, edge_id string, source_node_type string, source_node_id string, target_node_type string, target_node_id string, relation_type string, relation_score float, relation_source string, relation_rank int, lifecycle_status string, quarantined boolean, document_id string"
+    spark.createDataFrame(rows, e).write.parquet(f"{tmp_path}/graph_edges.parquet")
+    got = QUERIES["graph_one_hop_seeds"](spark, str(tmp_path)).collect()
+    assert {(r.query_id, r.chunk_id) for r in got} == {(f"z/s{i:02d}", f"t{i:02d}") for i in range(60)} and len(got) == 60

@@ -1,95 +1,58 @@
 """Keyword-stuffed and link-list pages (problem 8).
 
-Two measures decide. Words outside any clause: a word belongs to a clause if function words stand around it, as they
-do in the sentences of every language listed. Repetition: the share of the characters outside clauses that lie in
-maximal substrings occurring again, read off the suffix automaton of those characters. A page is spam if more
-than half of its words lie outside clauses, code and logs, and enough of their characters is repeated.
-Every page is judged whole and by itself, in a map without any shuffle.
+Two measures decide, and neither knows a language. Clause structure: a page falls into units, and a unit is shaped like
+a clause by its length, its end and what divides it: separators, links, tags and numbers. Repetition: the suffix
+automaton of a page's words counts how often every substring occurs, and a unit that maximal substrings cover which
+come more often than a page of that length would have by chance is stuffing, however it is shaped. A page is spam if more
+than half of its words lie in units without clauses, and if the suffix automaton of these units' characters finds
+enough of them in repeated maximal substrings. Every page is judged whole and by itself, in a map without any shuffle.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame
 
-# Common function words of five languages.
-FUNCTION_WORDS = {
-    "en": "the a an our your their its this that these all some most both both many of in on at to for with by and or but because until while after under within near is are not if".split(),
-    "de": "der die das den dem des ein eine unsere alle viele manche einige beide diese und oder aber dass damit während bis wenn nach vor unter bei für auf in im mit ohne von ist nicht".split(),
-    "es": "el la los las un una nuestros todos algunos muchos varios ambos estos y o pero porque mientras cuando si según en de del a al por para con sin entre tras es que no se".split(),
-    "fr": "le la les un une des nos leurs ces tous certains plusieurs quelques et ou mais quand tandis que si après selon à au de du en pour avec sans entre près dans par est ne qui".split(),
-    "ru": "и или но что чтобы когда пока если потому как в на по при из от для до около через без после с за об не наши все многие некоторые любые такие эти оба их это".split(),
-}
-_WORDS = frozenset(w for ws in FUNCTION_WORDS.values() for w in ws)
-_EDGES = "\"'`.,;:!?…()[]{}<>«»“”„‘’|/\\*#@&+=~^_-–—•·$%\u00a1\u00bf"
+#: Fewest words of a clause with and without an end mark, and words to each separator, link or number in it.
+ENDED, OPEN, SPREAD = 3, 9, 3
+#: Words of a phrase that counts as stuffed, its fewest occurrences, and words of the page to each of them.
+PHRASE, TIMES, PER = 2, 3, 100
+#: Share of a unit's words in stuffed phrases from which on it is no clause, and of characters that must be repeated.
+STUFFED, MIN_COVERAGE = 0.5, 0.25
+#: Characters (or words) up to which the automaton is built; beyond, sorted grams give the same measure in less memory.
+AUTOMATON = 1 << 17
+
+# scripts written without blanks between words: each character, or each few, counts as a word
+_DENSE = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
+_JOINED = "\u0e01-\u0e4e\u0e81-\u0ece\u1000-\u109f\u1780-\u17d3"
+_WORD = re.compile(f"[{_DENSE}]{{1,2}}|[{_JOINED}]{{1,4}}|[^\\W\\d_{_DENSE}{_JOINED}]+(?:['’-][^\\W\\d_{_DENSE}{_JOINED}]+)*")
+_MARK = re.compile(r"(?<!\S)[#@]\w|(?<![\w.,:-])(?:[^\W\d]*-?\d)")
 _TAG = re.compile(r"<[^<>\n]{1,2000}>")
-_FENCE = re.compile(r"^\s*(?:```|~~~)")
+_LINK_TARGET = re.compile(r"\]\([^()\s]*\)")
+_ADDRESS = re.compile(r"\b(?:https?|ftp)://[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+", re.IGNORECASE)
 _CODE = re.compile(r"[=(){}\[\]].*[;{}]\s*$|^\s*[{}]\s*$|^\s*(?:let|var|const|for|if|while|return|def|class|function|import|from|select|insert|update|delete|create)\b.*[=(){}<>,;:]|^[\w./-]*[_.][\w./-]*\s*[:=]\s*\S+\s*$|\w\([^()]*\)\s*;?\s*$", re.IGNORECASE)
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|^\W*\d{4}-\d\d-\d\d[T ]|^\W*(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b")
-_LINK_TARGET = re.compile(r"\]\([^()\s]*\)")
+_LEAD = re.compile(r"^\s*(?:[#>*+•–-]+|\d+[.)])\s+")
+# ends of sentences in many scripts (a blank is one in the joined ones), and the bars and arrows of menus and tables
+_CUT = re.compile(rf"(?<=[{_JOINED}])\s+(?=[{_JOINED}])|(?<=[.!?…])[\"'”’»)\]]*(?=\s)|(?<=[。！？؟।۔։။។])|\s[|>»·•→/]+\s|\|")
+_END = re.compile(r"[.!?…。！？؟।۔։။។:][\"'”’»)\]*_]*\s*$")
+_SEPARATOR = re.compile(r"[,;،、，；|>»·•→]|\s[-–—/]\s")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
-#: Words looked at on either side of a word, and function words that make a clause there.
-REACH, CLAUSE_WORDS = 4, 2
-#: Shortest repeated substring that counts, in characters, and the share of characters such substrings must cover.
-MIN_REPEAT, MIN_COVERAGE = 4, 0.3
-#: Characters per automaton; longer text is measured in windows of this length, so memory stays bounded.
-WINDOW = 1 << 16
-
-
-def _plain(text: str) -> str:
-    """Without tags and the targets of links."""
-    text = _TAG.sub(" ", text) if "<" in text else text
-    return _LINK_TARGET.sub("] ", text) if "](" in text else text
-
-
-def _words(text: str) -> tuple[list[str], list[str]]:
-    """The words of a text, and the same in lower case without punctuation around them."""
-    words = text.split()
-    cores = [w.strip(_EDGES) for w in text.casefold().split()]
-    if "" in cores:
-        words = [w for w, c in zip(words, cores, strict=True) if c]
-        cores = [c for c in cores if c]
-    return words, cores
-
 
-def clause_mask(words: list[str], cores: list[str]):
-    """For each word whether it belongs to a clause: enough function words within reach, or within its sentence."""
-    import numpy as np
-
-    n = len(words)
-    total = np.zeros(n + 1, dtype=np.int32)
-    np.cumsum([c in _WORDS for c in cores], out=total[1:])
-    at = np.arange(n)
-    mask = total[np.minimum(n, at + REACH + 1)] - total[np.maximum(0, at - REACH)] >= CLAUSE_WORDS
-    if 2 * int(mask.sum()) >= n:  # the page is decided; sentences could only add to its clauses
-        return mask
-    start = 0
-    for i in range(n):
-        if words[i][-1] in ".!?…" or i == n - 1:
-            own = int(total[i + 1] - total[start])
-            if own >= CLAUSE_WORDS and 6 * own >= i + 1 - start:
-                mask[start : i + 1] = True
-            start = i + 1
-    return mask
-
-
-def repeated_coverage(text: str, least: int = MIN_REPEAT) -> float:
-    """Share of the characters of text that lie in a substring of at least `least` characters that occurs twice or more.
-
-    The suffix automaton has one state per class of substrings with the same end positions; the longest repeated
-    suffix at each position is the longest string of the first state on its suffix path that ends in two places."""
-    n = len(text)
-    if n < 2 * least:
-        return 0.0
-    nexts: list[dict[str, int]] = [{}]
+def occurrences(seq: Sequence) -> tuple[list[int], list[int], list[int], list[int]]:
+    """The suffix automaton of seq: (link, length, ends, at): per state its suffix link, the length of its longest
+    substring and the number of places it ends in, and the state of each prefix."""
+    nexts: list[dict] = [{}]
     link, length, ends = [-1], [0], [0]
     at: list[int] = []
     last = 0
-    for ch in text:
+    for ch in seq:
         cur = len(nexts)
         nexts.append({})
         length.append(length[last] + 1)
@@ -118,49 +81,148 @@ def repeated_coverage(text: str, least: int = MIN_REPEAT) -> float:
     for s in sorted(range(1, len(nexts)), key=length.__getitem__, reverse=True):
         if link[s] > 0:
             ends[link[s]] += ends[s]
-    covered, reach = 0, n
+    return link, length, ends, at
+
+
+def _covered_by_grams(seq: Sequence, least: int, times: int):
+    """covered() of long sequences: a place lies in a substring of at least `least` symbols that occurs often enough just
+    if it lies in such a substring of exactly that many symbols; the grams are sorted a share at a time."""
+    import numpy as np
+
+    n = len(seq)
+    ids = np.frombuffer(seq.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64) if isinstance(seq, str) else np.unique(np.array(seq), return_inverse=True)[1].astype(np.uint64)
+    h = np.zeros(n - least + 1, dtype=np.uint64)
+    for j in range(least):
+        h = (h ^ (ids[j : j + len(h)] + np.uint64(1))) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    edge = np.zeros(n + 1, dtype=np.int32)
+    shares = max(1, n >> 22)
+    for k in range(shares):
+        (place,) = np.nonzero(h % np.uint64(shares) == k)
+        _, which, count = np.unique(h[place], return_inverse=True, return_counts=True)
+        hit = place[count[which] >= times]
+        np.add.at(edge, hit, 1)
+        np.add.at(edge, hit + least, -1)
+    return np.cumsum(edge[:n]) > 0
+
+
+def covered(seq: Sequence, least: int, times: int = 2):
+    """For each place of seq whether it lies in a substring of at least `least` symbols that occurs `times` times or more.
+
+    The longest such substring that ends at a place is the longest string of the first state on its suffix path with so
+    many ends."""
+    n = len(seq)
+    if n < least + times - 1:
+        return [False] * n
+    if n > AUTOMATON:
+        return _covered_by_grams(seq, least, times)
+    link, length, ends, at = occurrences(seq)
+    out, reach = [False] * n, n
     for i in range(n - 1, -1, -1):
         s = at[i]
-        while s > 0 and ends[s] < 2:
+        while s > 0 and ends[s] < times:
             s = link[s]
         if s > 0 and length[s] >= least:
             reach = min(reach, i - length[s] + 1)
-        covered += reach <= i
-    return covered / n
+        out[i] = reach <= i
+    return out
+
 
+def repeated_coverage(text: str, least: int) -> float:
+    """Share of the characters of text that lie in a substring of at least `least` characters that occurs twice or more."""
+    return sum(covered(text, least)) / len(text) if text else 0.0
 
-def _coverage(text: str) -> float:
-    if len(text) <= WINDOW:
-        return repeated_coverage(text)
-    parts = [text[i : i + WINDOW] for i in range(0, len(text), WINDOW)]
-    return sum(repeated_coverage(p) * len(p) for p in parts) / len(text)
+
+def chance_length(n: int) -> int:
+    """Characters from which on a repeated substring is no matter of course in prose of n characters: prose repeats its short
+    words whatever it says, and the longest repeat that chance brings about grows by one with each doubling."""
+    return 6 + max(0, math.floor(math.log2(max(n, 1) / 250)))
+
+
+class Unit:
+    """A stretch of a line between ends of sentences, or bars; its words, and whether it has the shape of a clause."""
+
+    __slots__ = ("clause", "n", "name", "raw", "words")
+
+    def __init__(self, raw: str) -> None:
+        self.raw = plain = raw
+        links = addresses = 0
+        if "<" in raw or "](" in raw or "://" in raw or "www." in raw:
+            links = raw.count("](") + raw.count("<a ")
+            plain, addresses = _ADDRESS.subn(" ", _LINK_TARGET.sub("] ", _TAG.sub(" ", raw)))
+        self.words = _WORD.findall(plain.casefold())
+        n = len(self.words)
+        self.n = n + addresses  # an address is a word, of no clause
+        self.name = " ".join(self.words)
+        shown = len(_SEPARATOR.findall(plain)) + len(_MARK.findall(plain)) + links + addresses
+        self.clause = SPREAD * shown <= n and n >= (ENDED if _END.search(plain) else OPEN)
+
+
+def units(text: str) -> tuple[list[Unit], int]:
+    """The units of a page, and the number of words in its code and log lines."""
+    out: list[Unit] = []
+    apart, fenced = 0, False
+    for line in text.split("\n"):
+        fence = "```" in line or "~~~" in line
+        if fenced or fence or _LOG.match(line) or _code(line):
+            apart += len(_WORD.findall(line))
+        else:
+            at = 0
+            line = _LEAD.sub("", line, count=1)
+            for m in _CUT.finditer(line):
+                if part := line[at : m.start()].strip():
+                    out.append(Unit(part))
+                at = m.end()
+            if part := line[at:].strip():
+                out.append(Unit(part))
+        fenced ^= fence
+    return out, apart
+
+
+def _code(line: str) -> bool:
+    return bool(_CODE.search(_ADDRESS.sub(" ", _LINK_TARGET.sub("]", _TAG.sub(" ", line))) if "<" in line or "](" in line or "://" in line else line))
+
+
+def _stuffed(parts: list[Unit], n: int, outside: int) -> set[str]:
+    """The words of the clause-shaped units that stuffed phrases cover. A sentence that stands there twice is still a
+    sentence, other numbers in it or not: each counts once among the occurrences of phrases."""
+    clauses = {u.name: u for u in parts if u.clause}
+    times = max(TIMES, -(-n // PER))
+    count = Counter(w for u in clauses.values() for w in u.words)
+    count.update(w for u in parts if not u.clause for w in u.words)
+    often = {w for w, k in count.items() if k >= times}
+    # only words that come so often themselves can lie in such phrases: the automaton is built unless these cannot decide
+    able = {c for c, u in clauses.items() if sum(map(often.__contains__, u.words)) >= STUFFED * len(u.words)}
+    if 2 * (outside + sum(u.n for u in parts if u.clause and u.name in able)) <= n:
+        return set()
+    ids: dict[str, int] = {}
+    seq: list[int] = []
+    for k, u in enumerate([*clauses.values(), *(u for u in parts if not u.clause)]):
+        seq += [ids.setdefault(w, len(ids)) for w in u.words]
+        seq.append(-1 - k)
+    marked, at = covered(seq, PHRASE, times), 0
+    out = set()
+    for name, u in clauses.items():
+        if sum(marked[at : at + len(u.words)]) >= STUFFED * len(u.words):
+            out.add(name)
+        at += len(u.words) + 1
+    return out
 
 
 def page_measures(text: str | None) -> tuple[int, int, float]:
-    """(words, words outside clauses, code and logs, repeated share of their characters). The last is measured only
-    where it can matter, that is for more than half of the words, and 0 elsewhere."""
+    """(words, words outside clauses, repeated share of their characters). The last is measured only where
+    it can matter, that is for more than half of the words, and 0 elsewhere."""
     if not text:
         return 0, 0, 0.0
-    plain = _plain(text)
-    words, cores = _words(plain)
-    mask = clause_mask(words, cores)
-    n, outside = len(words), len(words) - int(mask.sum())
-    if 2 * outside <= n:
-        return n, outside, 0.0
-    at, outside, fenced, kept = 0, 0, False, []
-    for line in text.split("\n"):
-        fence = bool(_FENCE.match(line))
-        own = _words(_plain(line))[0]
-        if not (fenced or fence or _CODE.search(_plain(line)) or _LOG.search(line)):
-            free = [w for w, inside in zip(own, mask[at:], strict=False) if not inside]
-            outside += len(free)
-            if free:
-                kept.append(" ".join([*free, *_TAG.findall(line), *_LINK_TARGET.findall(line)]))
-        at += len(own)
-        fenced ^= fence
+    parts, apart = units(text)
+    n = apart + sum(u.n for u in parts)
+    outside = sum(u.n for u in parts if not u.clause)
+    stuffed = _stuffed(parts, n, outside)
+    outside += sum(u.n for u in parts if u.clause and u.name in stuffed)
     if 2 * outside <= n:
         return n, outside, 0.0
-    return n, outside, _coverage(_SPACE.sub(" ", _DIGITS.sub("0", "\n".join(kept))).casefold())
+    kept = _SPACE.sub(" ", _DIGITS.sub("0", "\n".join(u.raw for u in parts if not u.clause or u.name in stuffed))).casefold()
+    return n, outside, repeated_coverage(kept, chance_length(len(kept)))
 
 
 def is_spam(measures: tuple[int, int, float], min_coverage: float = MIN_COVERAGE) -> bool:

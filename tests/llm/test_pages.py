@@ -13,18 +13,51 @@ def spam(t):
     return sp.is_spam(sp.page_measures(t))
 
 
+PLAIN = {
+"it": "La mattina dopo siamo tornati al mercato perché mia sorella voleva comprare del pane fresco. Il vecchio fornaio ci ha raccontato che la farina era arrivata in ritardo, ma il forno era già caldo. Abbiamo aspettato quasi un'ora davanti alla porta. Alla fine il pane era buono e siamo rientrati a casa contenti.",
+"pt": "Na manhã seguinte voltamos ao mercado porque a minha irmã queria comprar pão fresco. O velho padeiro contou que a farinha tinha chegado tarde, mas o forno já estava quente. Esperamos quase uma hora em frente à porta. No fim o pão estava bom e regressamos contentes para casa.",
+"tr": "Ertesi sabah pazara geri döndük çünkü kız kardeşim taze ekmek almak istiyordu. Yaşlı fırıncı unun geç geldiğini ama fırının çoktan ısındığını anlattı. Kapının önünde neredeyse bir saat bekledik. Sonunda ekmek güzeldi ve eve mutlu döndük.",
+"pl": "Następnego ranka wróciliśmy na targ, ponieważ moja siostra chciała kupić świeży chleb. Stary piekarz opowiedział nam, że mąka przyszła późno, ale piec był już gorący. Czekaliśmy prawie godzinę przed drzwiami. W końcu chleb był dobry i zadowoleni wróciliśmy do domu.",
+"cs": "Druhý den ráno jsme se vrátili na trh, protože moje sestra chtěla koupit čerstvý chléb. Starý pekař nám vyprávěl, že mouka přišla pozdě, ale pec už byla horká. Čekali jsme skoro hodinu přede dveřmi. Nakonec byl chléb dobrý a spokojeně jsme šli domů.",
+"zh": "第二天早上我们又回到市场，因为我的妹妹想买新鲜的面包。老面包师告诉我们，面粉来得很晚，但是烤炉已经热了。我们在门口等了差不多一个小时。最后面包很好吃，我们高高兴兴地回家了。",
+"ja": "翌朝、妹が焼きたてのパンを買いたいと言ったので、私たちは市場に戻りました。年老いたパン屋は、小麦粉が遅れて届いたが窯はもう熱いと話してくれました。私たちは扉の前で一時間ほど待ちました。最後にはおいしいパンを持って家に帰りました。",
+"ko": "다음 날 아침 우리는 여동생이 갓 구운 빵을 사고 싶어 해서 시장으로 돌아갔다. 늙은 빵집 주인은 밀가루가 늦게 도착했지만 화덕은 이미 뜨겁다고 말했다. 우리는 문 앞에서 거의 한 시간을 기다렸다. 결국 빵은 맛있었고 우리는 기분 좋게 집으로 돌아왔다.",
+"th": "เช้าวันรุ่งขึ้นเรากลับไปที่ตลาดเพราะน้องสาวของฉันอยากซื้อขนมปังสดใหม่ คนทำขนมปังเล่าว่าแป้งมาถึงช้าแต่เตาร้อนแล้ว เรารออยู่หน้าประตูเกือบหนึ่งชั่วโมง ในที่สุดขนมปังก็อร่อยและเรากลับบ้านอย่างมีความสุข",
+"hi": "अगली सुबह हम बाज़ार लौट आए क्योंकि मेरी बहन ताज़ी रोटी खरीदना चाहती थी। बूढ़े नानबाई ने बताया कि आटा देर से आया था लेकिन तंदूर पहले से गरम था। हम दरवाज़े के सामने लगभग एक घंटे तक रुके रहे। आखिर में रोटी अच्छी थी और हम खुशी से घर लौटे।",
+"ar": "في صباح اليوم التالي عدنا إلى السوق لأن أختي أرادت أن تشتري خبزا طازجا. أخبرنا الخباز العجوز أن الطحين وصل متأخرا ولكن الفرن كان ساخنا. انتظرنا أمام الباب ساعة تقريبا. في النهاية كان الخبز لذيذا وعدنا إلى البيت سعداء.",
+"fi": "Seuraavana aamuna palasimme torille, koska siskoni halusi ostaa tuoretta leipää. Vanha leipuri kertoi, että jauhot olivat tulleet myöhään, mutta uuni oli jo kuuma. Odotimme oven edessä melkein tunnin. Lopulta leipä oli hyvää ja menimme tyytyväisinä kotiin.",
+"hu": "Másnap reggel visszamentünk a piacra, mert a húgom friss kenyeret akart venni. Az öreg pék elmesélte, hogy a liszt későn érkezett, de a kemence már forró volt. Majdnem egy órát vártunk az ajtó előtt. Végül a kenyér jó volt, és elégedetten mentünk haza.",
+"sw": "Asubuhi iliyofuata tulirudi sokoni kwa sababu dada yangu alitaka kununua mkate mpya. Mwokaji mzee alituambia kwamba unga ulichelewa kufika, lakini tanuri lilikuwa tayari na moto. Tulingoja mbele ya mlango karibu saa moja. Mwishowe mkate ulikuwa mzuri na tulirudi nyumbani kwa furaha.",
+"vi": "Sáng hôm sau chúng tôi quay lại chợ vì em gái tôi muốn mua bánh mì mới. Người thợ làm bánh già kể rằng bột đến muộn nhưng lò đã nóng rồi. Chúng tôi chờ trước cửa gần một tiếng. Cuối cùng bánh rất ngon và chúng tôi vui vẻ về nhà.",
+"el": "Το επόμενο πρωί γυρίσαμε στην αγορά γιατί η αδελφή μου ήθελε να αγοράσει φρέσκο ψωμί. Ο γέρος φούρναρης μας είπε ότι το αλεύρι ήρθε αργά, αλλά ο φούρνος ήταν ήδη ζεστός. Περιμέναμε μπροστά στην πόρτα σχεδόν μία ώρα. Στο τέλος το ψωμί ήταν καλό και γυρίσαμε ευχαριστημένοι στο σπίτι.",
+"en plain": "this is a note that nobody ever punctuated and it just goes on about how the server was restarted every night until someone noticed the disk was full and then we all went home",
+"en terse": "Server restarted. Disk full again. Called Anna about logs. She moved everything yesterday. Nothing else happened tonight. Morning shift takes over now.",
+"poem": "Over the hills the grey rain came\nsoft on the roofs of the town\nnobody spoke of the drowned boy's name\nas evening brought the shutters down\nlamps were lit along the quay\nboats lay idle by the wall\nsomething moved beneath the sea\nsomething that had heard us call",
+}
+
+
+def test_prose_of_any_language_is_no_spam():
+    for name, t in PLAIN.items():
+        for text in (t, t.upper(), *([] if name == "poem" else ["\n".join([t] * 5), f"{t}\n" * 40])):
+            m = sp.page_measures(text)
+            assert not sp.is_spam(m), (name, m)
+
+
 def test_repeated_coverage_equals_brute_force():
     rng = random.Random(4)
     for _ in range(120):
         t = "".join(rng.choice("ab c") for _ in range(rng.randrange(0, 60)))
-        for least in (2, 4):
+        for least, times in ((2, 2), (4, 2), (2, 3)):
             hit = set()
             for i in range(len(t)):
                 for j in range(i + least, len(t) + 1):
-                    if t.find(t[i:j]) != t.rfind(t[i:j]):
+                    if sum(t.startswith(t[i:j], k) for k in range(len(t))) >= times:
                         hit |= set(range(i, j))
-            want = len(hit) / len(t) if len(t) >= 2 * least else 0.0
-            assert abs(sp.repeated_coverage(t, least) - want) < 1e-12, (t, least)
+            want = [i in hit for i in range(len(t))]
+            assert list(sp.covered(t, least, times)) == want, (t, least)
+            if len(t) >= least:
+                assert list(sp._covered_by_grams(t, least, times)) == want
+                assert list(sp._covered_by_grams([ord(c) for c in t], least, times)) == want
 
 
 def test_spam_and_honest_pages():

@@ -95,11 +95,21 @@ def test_bit_parallel_distance_equals_dynamic_programming():
         assert el.least_distance(p, t) == distance(p, t)
 
 
-def test_error_budget_leaves_a_piece():
-    for n in range(4, 400):
+def test_every_passage_holds_more_pieces_than_it_may_have_edits():
+    for n in range(1, 400):
         length = el.passage_length(n)
-        e = el.error_budget(length)
-        assert length >= min(n, el.LEAST) and -(-(length - e) // (e + 1)) >= el.PIECE or e == 0 and length >= el.PIECE
+        e, p, at = el.error_budget(length), el.piece_length(length), el.pieces(n)
+        assert p * (e + 1) <= length
+        for s in range(n - length + 1):
+            apart, end = 0, 0
+            for x in at:
+                if x >= max(s, end) and x + p <= s + length:
+                    apart, end = apart + 1, x + p
+            apart_back, start = 0, n
+            for x in reversed(at):
+                if s <= x and x + p <= min(s + length, start):
+                    apart_back, start = apart_back + 1, x
+            assert max(apart, apart_back) > e, (n, s)
 
 
 def words(rng, n):
@@ -138,7 +148,7 @@ def test_leaks(spark):
     assert set(got) == want and len(got) == len(want)
     el.BLOCK_CHARS, keep = 900, el.BLOCK_CHARS
     try:
-        assert len(el._blocks(d, "item_id", "text")) > 3
+        assert len(list(el._blocks(el.item_words(d, "item_id", "text")))) > 3
         assert {tuple(r) for r in el.eval_leaks(pages, d).collect()} == want
     finally:
         el.BLOCK_CHARS = keep

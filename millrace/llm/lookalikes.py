@@ -1,15 +1,20 @@
 """Visually identical text with different characters (problem 3).
 
-Code points and strings that look the same are joined into transitive classes by union-find: compatibility and
-accent decompositions, blanks, invisible characters and look-alike letters of Latin, Greek and Cyrillic. The counts of
-all code points over all texts choose each class's representative. Texts are then rewritten in one greedy
-pass by a multi-pattern automaton and composed. Only the table of code points (at most the size of Unicode) reaches the driver.
+Code points and strings that look the same are joined into transitive classes by union-find: letters with combining accents
+and their composed forms, ligatures and other compatibility forms, blanks, line breaks, invisible characters, and look-alike letters of
+Latin, Greek and Cyrillic. The counts of all code points and strings over all texts choose each class's representative. Every
+text is then rewritten in one greedy leftmost-longest pass by a multi-pattern automaton over both. Only the table of
+patterns reaches the driver: code points, at most the size of Unicode, and the STRINGS most frequent strings; what is
+rarer is spelt out in the tasks by the same rules, with the same result.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Mapping
+from functools import cache, lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -93,6 +98,11 @@ class Classes:
         return out
 
 
+#: Strings of which counts and representatives travel.
+STRINGS = 50_000
+
+
+@lru_cache(1 << 16)
 def _basic(ch: str) -> str:
     """What a code point stands for: nothing if invisible, one blank, one line break, or its full decomposition."""
     cp, kind = ord(ch), unicodedata.category(ch)
@@ -105,77 +115,114 @@ def _basic(ch: str) -> str:
     return "".join(_basic(x) for x in d) if (d := unicodedata.normalize("NFKD", ch)) != ch else ch
 
 
-def rewriting(counts: Mapping[int, int]) -> dict[str, str]:
-    """Pattern -> representative for every code point seen, from the counts of all code points.
+@cache
+def _first_letters() -> dict[str, str]:
+    return {x: line[0] for line in LOOKALIKES.split("\n") for x in "".join(line.split()[1:])}
+
+
+@lru_cache(1 << 16)
+def spelt(s: str) -> str:
+    """The one spelling that all strings share that look like s: basic characters, accents in their order, first letters."""
+    first = _first_letters()
+    return unicodedata.normalize("NFD", "".join(first.get(c, c) for c in unicodedata.normalize("NFD", "".join(map(_basic, s)))))
+
+
+@cache
+def _patterns() -> tuple[re.Pattern, re.Pattern]:
+    """What only strings have (an accent, a medial letter of a syllable, a carriage return; roughly, but fast), and the strings
+    of several characters that are drawn as one: a character with accents, whatever is invisible between them; a syllable
+    in separate letters; a line break of two characters."""
+
+    def ranges(cps: list[int]) -> str:
+        cuts = [i for i in range(1, len(cps)) if cps[i] != cps[i - 1] + 1]
+        return "".join(f"\\U{cps[i]:08x}-\\U{cps[j - 1]:08x}" for i, j in zip([0, *cuts], [*cuts, len(cps)], strict=True))
+
+    # beyond these planes there are neither accents nor invisible characters
+    some = [c for c in (*range(0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0200)) if unicodedata.category(chr(c)) in ("Mn", "Mc", "Me", "Cf", "Cc") or c in INVISIBLE_OTHER]
+    hidden = [c for c in some if not _basic(chr(c))]
+    drawn = sorted({c for c in some if unicodedata.category(chr(c))[0] == "M"} - set(hidden))
+    marks, unseen, near = ranges(drawn), ranges(hidden), ranges([c for c in drawn if c < 0x10000])
+    return re.compile(f"[\r\u1161-\u1175{near}\U00010000-\U0010ffff]"), re.compile(f"\r\n|[\u1100-\u1112][{unseen}]*[\u1161-\u1175](?:[{unseen}]*[\u11a8-\u11c2])?|[^\\s{marks}{unseen}][{unseen}]*[{marks}][{marks}{unseen}]*(?<=[{marks}])")
+
+
+def strings_of(text: str) -> list[str]:
+    """The strings in a text, see _patterns."""
+    if text.isascii() and "\r" not in text:
+        return []
+    hint, whole = _patterns()
+    return whole.findall(text) if hint.search(text) else []
 
-    A class that holds a string of several characters is represented by that string, spelt in representatives; else
-    by its most frequent member, of equally frequent ones by the smallest. A carriage return before a line feed is part of one line break."""
+
+def rewriting(counts: Mapping[str, int]) -> dict[str, str]:
+    """Pattern -> representative for every code point and string counted.
+
+    A class of letters, or of letters with accents, is represented by its most frequent member, of equally frequent ones by
+    the shortest and smallest; one that stands for several letters (a ligature) by these, each in its representative. A
+    carriage return before a line feed is part of one line break."""
     classes = Classes()
-    seen = {chr(c) for c in counts if not 0xD800 <= c < 0xE000}
-    for line in LOOKALIKES.split("\n"):
-        for double in "".join(line.split()[1:]):
-            classes.union(line[0], double)
-    if "\r" in seen:
-        classes.union("\r\n", "\n")
-        seen = seen | {"\r\n"}
-    for ch in seen:
-        if len(ch) == 1 and (b := _basic(ch)) != ch:
-            classes.union(ch, b)
-            seen = seen | set(b)
+    seen = {x for x in counts if not (len(x) == 1 and 0xD800 <= ord(x) < 0xE000)}
+    for x in sorted(seen):
+        classes.union(x, "\n" if x == "\r\n" else spelt(x))
+    single = _patterns()[1].fullmatch
     best: dict[str, str] = {}
+    several: list[tuple[str, list[str]]] = []
     for group in classes.members().values():
-        if any(x in ("", " ", "\n") for x in group):
-            rep = next(x for x in ("", " ", "\n") if x in group)
+        to = "\n" if "\n" in group else spelt(group[0])
+        if to in ("", " ", "\n") or to[0].isspace():
+            best.update(dict.fromkeys(group, to))
+        elif len(to) == 1 or single(to):
+            mine = [x for x in group if len(spelt(x)) == len(to) and (len(x) > 1 or unicodedata.normalize("NFKC", x) == x)] or [to]
+            best.update(dict.fromkeys(group, min(mine, key=lambda x: (-counts.get(x, 0), len(x), x))))
         else:
-            spelt = [x for x in group if len(x) > 1]
-            letters = [x for x in group if len(x) == 1 and _basic(x) == x]
-            rep = min(spelt, key=lambda x: (-len(x), x)) if spelt else min(letters, key=lambda x: (-counts.get(ord(x), 0), x))
-        best.update(dict.fromkeys(group, rep))
-    spell = lambda s: "".join(best.get(x, x) for x in s)
-    out = {}
-    for ch in seen:
-        to = best.get(ch, ch)
-        for _ in range(8):  # a representative may itself be spelt in characters that have representatives
-            if (n := spell(to)) == to:
-                break
-            to = n
-        if to != ch:
-            out[ch] = to
-    return out
+            several.append((to, group))
+    for to, group in several:
+        best.update(dict.fromkeys(group, Rewriter(best)(to)))
+    return {x: to for x, to in best.items() if x != to}
 
 
 class Rewriter:
-    """Greedy leftmost-longest rewriting. Where no pattern of several characters can begin in a text, the automaton
-    has one level and is the interpreter's own translation table; else it is an Aho-Corasick automaton."""
+    """Greedy leftmost-longest rewriting with an Aho-Corasick automaton over code points and strings. Strings that are not
+    among the patterns are spelt out first, and their spelling is rewritten like any other text."""
 
     def __init__(self, patterns: Mapping[str, str]) -> None:
         import ahocorasick
 
-        self.single = {ord(k): v for k, v in patterns.items() if len(k) == 1}
-        self.ascii_keys = [chr(k) for k in self.single if k < 128]
-        self.starts = sorted({k[0] for k in patterns if len(k) > 1})
+        self.known = {k for k in patterns if len(k) > 1} | {v for v in patterns.values() if len(v) > 1}
         self.automaton = ahocorasick.Automaton()
         for k, v in patterns.items():
             self.automaton.add_word(k, (len(k), v))
-        if patterns:
+        for v in self.known - set(patterns):  # a representative of several characters stays whole
+            self.automaton.add_word(v, (len(v), v))
+        self.hint, self.whole = _patterns()
+        self.empty = not len(self.automaton)
+        if not self.empty:
             self.automaton.make_automaton()
 
+    def _spell(self, m: re.Match) -> str:
+        return m[0] if m[0] in self.known else spelt(m[0])
+
     def __call__(self, text: str) -> str:
-        if text.isascii() and not any(k in text for k in self.ascii_keys):
+        if not text.isascii() and self.hint.search(text):
+            text = self.whole.sub(self._spell, text)
+        if self.empty:
             return text
-        if any(k in text for k in self.starts):
-            parts, at = [], 0
-            for end, (n, to) in self.automaton.iter_long(text):
-                parts += [text[at : end + 1 - n], to]
-                at = end + 1
-            text = "".join([*parts, text[at:]])
-        else:
-            text = text.translate(self.single)
-        return text if text.isascii() else unicodedata.normalize("NFC", text)
+        parts, at = [], 0
+        for end, (n, to) in self.automaton.iter_long(text):
+            parts += (text[at : end + 1 - n], to)
+            at = end + 1
+        return "".join([*parts, text[at:]]) if parts else text
+
 
+def text_counts(text: str) -> Counter:
+    """Occurrences of each code point and string of a text."""
+    own = Counter(text)
+    own.update(strings_of(text))
+    return own
 
-def code_point_counts(texts: DataFrame) -> dict[int, int]:
-    """Occurrences of each code point in the first column, over all rows; repeated rows count as often as they occur."""
+
+def pattern_counts(texts: DataFrame, strings: int = STRINGS) -> dict[str, int]:
+    """Occurrences of each code point, and of the most frequent strings, in the first column, over all rows; repeated rows
+    count as often as they occur. Null and empty texts count nothing."""
     col = texts.columns[0]
 
     def run(batches: Iterator) -> Iterator:
@@ -183,16 +230,23 @@ def code_point_counts(texts: DataFrame) -> dict[int, int]:
         import pyarrow as pa
 
         total = np.zeros(0x110000, dtype=np.int64)
+        found: Counter = Counter()
         for b in batches:
-            joined = "".join(x for x in b.column(0).to_pylist() if x)
-            if joined:
+            own = [x for x in b.column(0).to_pylist() if x]
+            if joined := "".join(own):
                 n = np.bincount(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
                 total[: len(n)] += n
-        (at,) = np.nonzero(total)
-        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at], pa.int64())], names=["cp", "n"])
+            for x in own:
+                found.update(strings_of(x))
+            if len(found) > 200_000:
+                yield pa.record_batch([pa.array(list(found)), pa.array(list(found.values()), pa.int64())], names=["s", "n"])
+                found.clear()
+        at = [c for c in np.nonzero(total)[0].tolist() if not 0xD800 <= c < 0xE000]
+        yield pa.record_batch([pa.array([*map(chr, at), *found], pa.string()), pa.array([*total[at].tolist(), *found.values()], pa.int64())], names=["s", "n"])
 
-    rows = texts.select(col).where(F.col(col).isNotNull()).mapInArrow(run, "cp int, n long").groupBy("cp").agg(F.sum("n").alias("n")).collect()
-    return {r["cp"]: r["n"] for r in rows}
+    rows = texts.select(col).where(F.col(col).isNotNull()).mapInArrow(run, "s string, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    one, more = rows.where(F.length("s") == 1), rows.where(F.length("s") > 1).orderBy(F.desc("n"), "s").limit(strings)
+    return {r["s"]: r["n"] for r in one.unionByName(more).collect()}
 
 
 def canonical(col: Column, patterns: Mapping[str, str]) -> Column:
@@ -226,6 +280,20 @@ def text_prints(rows: DataFrame, patterns: Mapping[str, str]) -> DataFrame:
     return rows.select("table_name", "key", "text").where("key IS NOT NULL AND text IS NOT NULL").mapInArrow(run, "table_name string, key string, raw binary, canon binary")
 
 
+def text_classes(rows: DataFrame, patterns: Mapping[str, str] | None = None) -> DataFrame:
+    """(table_name, key, raw, canon) of (table_name, key, text), each once: canon is the print of the class of texts that
+    look the same. Written once, as everything else is read off it. See text_prints."""
+    patterns = rewriting(pattern_counts(rows.select("text"))) if patterns is None else patterns
+    return write_work(text_prints(rows, patterns).distinct(), "prints")
+
+
+def lookalike_classes(classes: DataFrame) -> DataFrame:
+    """(table_name, key, class_id, n_texts, n_keys): one row per key and class of its texts, with the number of different
+    texts and of keys in the class; combined before the shuffle, so a popular text costs no more than any other."""
+    sizes = classes.groupBy("table_name", "canon", "raw").agg(F.count("*").alias("n")).groupBy("table_name", "canon").agg(F.count("*").alias("n_texts"), F.sum("n").alias("n_keys"))
+    return classes.select("table_name", "canon", "key").distinct().join(sizes, ["table_name", "canon"]).select("table_name", "key", F.lower(F.hex("canon")).alias("class_id"), "n_texts", "n_keys")
+
+
 def lookalike_pairs(rows: DataFrame, patterns: Mapping[str, str] | None = None) -> DataFrame:
     """(table_name, key_a, key_b): keys of one table, key_a < key_b, whose texts differ but look the same.
 
@@ -233,8 +301,7 @@ def lookalike_pairs(rows: DataFrame, patterns: Mapping[str, str] | None = None)
     of copies of one text costs nothing but the rows of the result. Repeated rows count once. Null keys or texts
     are no cases; empty texts look like texts of invisible characters only.
     """
-    patterns = rewriting(code_point_counts(rows.select("text"))) if patterns is None else patterns
-    keys = write_work(text_prints(rows, patterns).distinct(), "prints")  # read four times; the texts only once
+    keys = text_classes(rows, patterns)
     texts = keys.select("table_name", "canon", "raw").distinct()
     mixed = texts.groupBy("table_name", "canon").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo != hi").select("table_name", "canon")
     some = texts.join(mixed, ["table_name", "canon"], "left_semi")

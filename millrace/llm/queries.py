@@ -40,12 +40,19 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.lookalike_pairs(_p3_rows(spark, d))
 
 
-def p3_queries(spark: SparkSession, d: str) -> DataFrame:
-    """All texts of the query log in their consistent form."""
-    q = table(spark, d, "normalized_queries").select("query_id", "original_text", "normalized_text").distinct()
-    both = q.select(F.explode(F.array("original_text", "normalized_text")).alias("t"))
-    patterns = lookalikes.rewriting(lookalikes.code_point_counts(both))
-    return q.select("query_id", lookalikes.canonical(F.col("original_text"), patterns).alias("original_text"), lookalikes.canonical(F.col("normalized_text"), patterns).alias("normalized_text"))
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """One row per key with its class of texts that look the same."""
+    return lookalikes.lookalike_classes(lookalikes.text_classes(_p3_rows(spark, d)))
+
+
+def p3_texts(spark: SparkSession, d: str) -> DataFrame:
+    """All texts of both tables in their consistent form, with one set of representatives."""
+    q = table(spark, d, "normalized_queries").select(F.lit("normalized_queries").alias("table_name"), F.col("query_id").alias("key"), F.posexplode(F.array("original_text", "normalized_text")).alias("i", "text"))
+    q = q.select("table_name", F.when(F.col("i") == 0, "original_text").otherwise("normalized_text").alias("field"), "key", "text")
+    c = _p3_rows(spark, d).where("table_name = 'generated_chunks'").select("table_name", F.lit("content").alias("field"), "key", "text")
+    rows = q.unionByName(c).where("text IS NOT NULL")
+    patterns = lookalikes.rewriting(lookalikes.pattern_counts(rows.select("text")))
+    return rows.select("table_name", "field", "key", lookalikes.canonical(F.col("text"), patterns).alias("text"))
 
 
 #: The vocabulary that sizes documents; any file of the same form will do.
@@ -68,7 +75,7 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return spam_pages.spam_pages(wide_table(spark, d, "documents")).select("doc_id")
 
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_queries": p3_queries, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_classes": p3_classes, "p3_texts": p3_texts, "p6_packed": p6_packed, "p6_fill": p6_fill, "p7_found": p7_found, "p8_found": p8_found}
 _WHITE = r"[\t-\r\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 SQL: dict[str, str] = {
     "p2_found": f"""

@@ -1,10 +1,10 @@
 """Splitting oversized items at natural boundaries (problem 2).
 
-Every text, and every giant file, is worked on in ranges with halos, by many tasks. A first pass counts the tokens that
-begin in each range; prefix sums over the range counts give every range the number of its first token. Cuts need no
-walk through the text: an item of N tokens gets evenly spaced nominal cuts, each range proposes its best natural boundary
-in the window before each of them, and the best proposal wins, whatever range it lies in. The stitched cut table
-says which tokens each piece covers, and the ranges emit its text by offset. So one item may be longer than
+Every text, short or long, and every file is worked on in ranges with halos, by many tasks. A first pass finds the tokens that
+begin in each range and the boundaries between them; prefix sums over the ranges' counts stitch these tables into one per item.
+Cuts need no walk through the text: an item of N tokens gets evenly spaced nominal cuts, each range's table proposes its best
+natural boundary in the window before each of them, and the best proposal wins, whatever range it lies in. The cut
+table says which tokens each piece covers, and the ranges emit its text by offset. So one item may be longer than
 any task could hold; only the pieces of one item share a limit, never its text.
 """
 
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.storage import write_work
+
 # The characters with Unicode's White_Space property.
 WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _TOKEN = re.compile(f"[^{WHITE}]+")
@@ -25,8 +27,9 @@ _LINE = re.compile(r"[\n\r\x0b\x0c\x85\u2028\u2029]")
 _SENTENCE = re.compile(r"[.!?…。！？][\"'”’»)\]]*$")
 #: Strengths of boundaries; a token start with none of them is the last resort.
 BLOCK, LINE, SENTENCE, NONE = 3, 2, 1, 0
-#: Characters (bytes, of files) of a range and of the halo on its left.
-RANGE, HALO = 1 << 20, 512
+_BLANKS = "".join(c for c in map(chr, range(0x3001)) if not _TOKEN.fullmatch(c))
+#: Characters (bytes, of files) of a range and of the halo on its left, which reaches back over white space as far as that goes.
+RANGE, HALO = 1 << 16, 512
 _BLOCK_TOKENS = 4096
 
 
@@ -39,76 +42,80 @@ def count_tokens(text: Column) -> Column:
 def plan_cuts(n: int, limit: int, overlap: int) -> tuple[int, int, int]:
     """(cuts, spacing, slack) for an item of n tokens: cut k lies in [k * spacing - slack, k * spacing] tokens. Any
     choice keeps every piece, with overlap tokens of the one before it, within the limit."""
-    overlap = max(0, min(overlap, limit // 2))
-    room = limit - overlap
+    room = limit - max(0, min(overlap, limit - 1))
     slack = room // 4
-    cuts = -(-n // max(1, room - slack)) - 1
+    cuts = -(-n // (room - slack)) - 1
     spacing = -(-n // (cuts + 1))
     return cuts, spacing, min(room - spacing, spacing // 2)
 
 
+def halo_start(text: str, start: int) -> int:
+    """Where the halo of a range from start begins: HALO characters before the white space that ends there."""
+    end = start
+    while end and not (part := text[max(0, end - 4 * HALO) : end].rstrip(_BLANKS)):
+        end = max(0, end - 4 * HALO)
+    return max(0, (max(0, end - 4 * HALO) + len(part) if end else 0) - HALO)
+
+
+def text_ranges(text: str, size: int) -> Iterator[tuple[int, int, int, str]]:
+    """(range_no, lead, size, body) of a text in ranges of so many characters: the halo, the range, and the rest of a token
+    that begins in it."""
+    for k in range(-(-len(text) // size)):
+        start, stop = k * size, min(len(text), (k + 1) * size)
+        lo, end = halo_start(text, start), stop
+        if stop < len(text) and text[stop] not in _BLANKS and text[stop - 1] not in _BLANKS:  # a token is open at the edge
+            own = text[max(0, start - 1) : stop]
+            if not start or any(c in own for c in _BLANKS):  # and begins in this range
+                end = _TOKEN.match(text, stop).end()
+        yield k, start - lo, stop - start, text[lo:end]
+
+
 class Range:
-    """A range of a text with its halo: where its tokens begin, and how strong a boundary lies before each of them.
+    """A range of a text with its halo: where its tokens begin, and where the last token before them ends.
 
-    body holds the halo and the range and goes on to the end of a token that begins in the range, if it is known;
+    body holds the halo and the range and goes on to the end of a token that begins in the range;
     lead is the length of the halo; a token belongs to the range it begins in."""
 
-    def __init__(self, body: str, lead: int, size: int, tails: Sequence[str] = ()) -> None:
+    def __init__(self, body: str, lead: int, size: int) -> None:
         self.body = body
         spans = [m.span() for m in _TOKEN.finditer(body)]
         first = next((i for i, (s, _) in enumerate(spans) if s >= lead), len(spans))
         self.before = spans[first - 1][1] if first else 0
         self.spans = [x for x in spans[first:] if x[0] < lead + size]
-        self.ends = set()
+
+    def boundaries(self, tails: Sequence[str]) -> list[tuple[int, int]]:
+        """(token, strength) of the boundaries before the range's tokens, where there is more than white space to one."""
+        ends, body, out = set(), self.body, []
         for t in tails:
             at = body.find(t) if t else -1
             while at >= 0:
-                self.ends.add(at + len(t))
+                ends.add(at + len(t))
                 at = body.find(t, at + 1)
-
-    def strength(self, j: int) -> int:
-        """Of the boundary before the j-th token of the range."""
-        end = self.spans[j - 1][1] if j else self.before
-        start = self.spans[j][0]
-        if end in self.ends:
-            return BLOCK
-        if _LINE.search(self.body, end, start):
-            return LINE
-        return SENTENCE if _SENTENCE.search(self.body[max(0, end - 8) : end]) else NONE
-
-    def proposals(self, base: int, n: int, limit: int, overlap: int) -> Iterator[tuple[int, int, int]]:
-        """(cut, strength, token): the range's best boundary for each nominal cut near it."""
-        cuts, spacing, slack = plan_cuts(n, limit, overlap)
-        for k in range(max(1, base // spacing), min(cuts, (base + len(self.spans) + slack) // spacing) + 1):
-            lo, hi = max(k * spacing - slack, base), min(k * spacing, base + len(self.spans) - 1)
-            best = None
-            for t in range(hi, lo - 1, -1):
-                s = self.strength(t - base)
-                if best is None or s > best[0]:
-                    best = (s, t)
-            if best and (best[0] > NONE or best[1] == k * spacing):
-                yield k, *best
-
-
-def _whole_pieces(text: str, limit: int, overlap: int, tails: Sequence[str]) -> list[tuple[int, int, int, int, str, int]]:
-    """All pieces of an item that fits one range: (piece, first token, tokens, overlap tokens, text, boundary)."""
-    r = Range(text, 0, len(text), tails)
-    n = len(r.spans)
-    overlap = max(0, min(overlap, limit // 2))
-    cuts, spacing, _ = plan_cuts(n, limit, overlap)
-    chosen = {k: (t, s) for k, s, t in r.proposals(0, n, limit, overlap)}
-    at = [(0, BLOCK), *[chosen.get(k, (k * spacing, NONE)) for k in range(1, cuts + 1)], (n, BLOCK)]
-    out = []
-    for k in range(cuts + 1):
-        start, stop = at[k][0], at[k + 1][0]
-        lead = min(overlap, start)
-        a, b = r.spans[start - lead][0], r.spans[stop - 1][1]
-        out.append((k, start - lead, stop - start + lead, lead, text[a:b], at[k + 1][1]))
-    return out
-
-
-_PIECE_COLUMNS = ["piece_no", "first_token", "token_count", "overlap_tokens", "text", "boundary"]
-_PIECE = "piece_no int, first_token long, token_count long, overlap_tokens long, text string, boundary int"
+        end = self.before
+        for j, (start, stop) in enumerate(self.spans):
+            if end in ends:
+                out.append((j, BLOCK))
+            elif _LINE.search(body, end, start):
+                out.append((j, LINE))
+            elif _SENTENCE.search(body[max(0, end - 8) : end]):
+                out.append((j, SENTENCE))
+            end = stop
+        return out
+
+
+def proposals(n: int, at: Sequence[int], strong: Sequence[int], base: int, total: int, limit: int, overlap: int) -> Iterator[tuple[int, int, int]]:
+    """(cut, strength, token): the best boundary for each nominal cut near a range of n tokens, of which base lie before it."""
+    from bisect import bisect_left, bisect_right
+
+    cuts, spacing, slack = plan_cuts(total, limit, overlap)
+    for k in range(max(1, base // spacing), min(cuts, (base + n + slack) // spacing) + 1):
+        lo, hi = max(k * spacing - slack, base), min(k * spacing, base + n - 1)
+        i, j = bisect_left(at, lo - base), bisect_right(at, hi - base)
+        if i < j:
+            x = max(range(i, j), key=lambda q: (strong[q], at[q]))
+            yield k, int(strong[x]), base + int(at[x])
+        elif base <= k * spacing < base + n:
+            yield k, NONE, k * spacing
 
 
 def _schema(df: DataFrame, cols: Sequence[str]) -> str:
@@ -116,16 +123,26 @@ def _schema(df: DataFrame, cols: Sequence[str]) -> str:
     return ", ".join(f"`{c}` {kinds[c]}" for c in cols)
 
 
+def _mapped(body, columns: Sequence[str]):
+    """mapInPandas body: the rows that a function of one row makes. Names end in an underscore, as itertuples renames those
+    that begin with one."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame([x for r in f.itertuples(index=False) for x in body(r)], columns=list(columns))
+
+    return run
+
+
 def split_oversized(items: DataFrame, key: Sequence[str], text: str = "content", limit: str = "max_tokens", overlap: str = "overlap", tails: str | None = None, range_chars: int = RANGE) -> DataFrame:
     """(*key, piece_no, first_token, token_count, overlap_tokens, text, boundary): the pieces of every item of
     more tokens than its limit, numbered from 0. Items within their limit give no rows.
 
     key must be unique. tails names a column with the last characters of the item's blocks. A piece holds at most
-    limit tokens, of which the first overlap_tokens repeat the end of the piece before it; an overlap above half the
-    limit is cut to that. boundary tells where the piece ends (3 block or item, 2 line, 1 sentence, 0 between tokens).
-    Null or empty texts, null limits and limits below 1 are never cut. White space around a piece is dropped. An item
-    longer than range_chars is cut by ranges; a run of white space longer than a halo that crosses the edge of
-    a range is shortened to the halo.
+    limit tokens, of which the first overlap_tokens repeat the end of the piece before it; an overlap of the limit or more
+    is taken as one token less than it. boundary tells where the piece ends (3 block or item, 2 line, 1 sentence, 0 between tokens).
+    Null or empty texts, null limits and limits below 1 are never cut. White space around a piece is dropped, within it it stays.
+    range_chars sets how an item is dealt out to the tasks, and does not change its pieces.
     """
     key = list(key)
     none = F.array().cast("array<string>")
@@ -136,27 +153,12 @@ def split_oversized(items: DataFrame, key: Sequence[str], text: str = "content",
         F.greatest(F.coalesce(F.col(overlap).cast("bigint"), F.lit(0)), F.lit(0)).alias("overlap_"),
         (F.coalesce(F.col(tails), none) if tails else none).alias("tails_"),
     ).where("body_ IS NOT NULL AND limit_ >= 1")
-    short = rows.where(F.length("body_") <= range_chars).where(count_tokens(F.col("body_")) > F.col("limit_"))
+    columns = [*key, "range_no", "limit_", "overlap_", "tails_", "lead_", "size_", "body_"]
+    ranges = rows.mapInPandas(_mapped(lambda r: [(*r[: len(key)], k, r.limit_, r.overlap_, r.tails_, lead, size, body) for k, lead, size, body in text_ranges(r.body_, range_chars)], columns), _schema(items, key) + ", " + _RANGE)
+    return split_ranges(write_work(ranges, "ranges"), key)
 
-    def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out = [(*r[:-4], *p) for r in f.itertuples(index=False, name=None) for p in _whole_pieces(*r[-4:])]
-            yield pd.DataFrame(out, columns=[*key, *_PIECE_COLUMNS])
-
-    pieces = short.mapInPandas(whole, _schema(items, key) + ", " + _PIECE)
-    cut = lambda at, n: F.substring("body_", F.lit(at) if isinstance(at, int) else at, n)
-    lead = F.when(F.col("range_no") == 0, 0).otherwise(F.least(F.lit(HALO), F.lit(range_chars)))
-    start = F.col("range_no") * range_chars
-    body = cut(start + 1 - lead, lead + range_chars)
-    # the rest of a token that begins in the range and goes on behind it
-    rest = F.regexp_extract(cut(start + range_chars + 1, F.length("body_")), f"^[^{WHITE}]*", 0)
-    giant = rows.where(F.length("body_") > range_chars)
-    ranges = (
-        giant.withColumn("range_no", F.explode(F.sequence(F.lit(0), F.ceil(F.length("body_") / F.lit(range_chars)).cast("int") - 1)))
-        .withColumns({"lead_": lead, "part_": body})
-        .select(*key, "range_no", "limit_", "overlap_", "tails_", "lead_", F.lit(range_chars).alias("size_"), F.concat("part_", F.when(F.col("part_").rlike(f"[{WHITE}][^{WHITE}]+$") | (F.col("range_no") == 0), rest).otherwise("")).alias("body_"))
-    )
-    return pieces.unionByName(split_ranges(ranges, key))
+
+_RANGE = "range_no int, limit_ long, overlap_ long, tails_ array<string>, lead_ int, size_ int, body_ string"
 
 
 def split_ranges(ranges: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -165,24 +167,22 @@ def split_ranges(ranges: DataFrame, key: Sequence[str]) -> DataFrame:
     rest of the token that begins last in it."""
     key = list(key)
     kinds = _schema(ranges, key)
-    of = lambda r: Range(r.body_, r.lead_, r.size_, r.tails_)
     name = lambda r: [getattr(r, c) for c in key]
-    # itertuples renames columns that begin with an underscore, hence the names with one at their end
 
-    def mapped(body, columns):
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                yield pd.DataFrame([x for r in f.itertuples(index=False) for x in body(r)], columns=columns)
+    def table(r):
+        g = Range(r.body_, r.lead_, r.size_)
+        found = g.boundaries(r.tails_)
+        yield (*name(r), r.range_no, r.limit_, r.overlap_, len(g.spans), [t for t, _ in found], [s for _, s in found])
 
-        return run
-
-    counted = ranges.mapInPandas(mapped(lambda r: [(*name(r), r.range_no, r.limit_, len(of(r).spans))], [*key, "range_no", "limit_", "n"]), kinds + ", range_no int, limit_ long, n long")
+    found = ranges.mapInPandas(_mapped(table, [*key, "range_no", "limit_", "overlap_", "n", "at", "strong"]), kinds + ", range_no int, limit_ long, overlap_ long, n long, at array<int>, strong array<int>")
     w = Window.partitionBy(*key)
-    sums = counted.withColumns({"base": F.sum("n").over(w.orderBy("range_no")) - F.col("n"), "total": F.sum("n").over(w)}).where("total > limit_").drop("limit_")
-    known = ranges.join(sums, [*key, "range_no"])
-    proposals = known.mapInPandas(mapped(lambda r: [(*name(r), k, s, t) for k, s, t in of(r).proposals(r.base, r.total, r.limit_, r.overlap_)], [*key, "cut", "strength", "token"]), kinds + ", cut int, strength int, token long")
-    cuts = proposals.groupBy(*key, "cut").agg(F.max(F.struct("strength", "token")).alias("best")).select(*key, "cut", "best.token", "best.strength")
-    ends = known.where("range_no = 0").select(*key, "total", F.least("overlap_", F.floor(F.col("limit_") / 2)).alias("most_"))
+    # used for the cuts and for the pieces, while the texts are read once more only to emit them
+    stitched = write_work(found.withColumns({"base": F.sum("n").over(w.orderBy("range_no")) - F.col("n"), "total": F.sum("n").over(w)}).where("total > limit_"), "boundaries")
+    proposed = stitched.where("n > 0").mapInPandas(
+        _mapped(lambda r: [(*name(r), *x) for x in proposals(r.n, r.at, r.strong, r.base, r.total, r.limit_, r.overlap_)], [*key, "cut", "strength", "token"]), kinds + ", cut int, strength int, token long"
+    )
+    cuts = proposed.groupBy(*key, "cut").agg(F.max(F.struct("strength", "token")).alias("best")).select(*key, "cut", "best.token", "best.strength")
+    ends = stitched.where("range_no = 0").select(*key, "total", F.least("overlap_", F.col("limit_") - 1).alias("most_"))
     starts = cuts.unionByName(ends.select(*key, F.lit(0).alias("cut"), F.lit(0).cast("bigint").alias("token"), F.lit(BLOCK).alias("strength")))
     order = w.orderBy("cut")
     lead = F.least("most_", "token")
@@ -193,24 +193,25 @@ def split_ranges(ranges: DataFrame, key: Sequence[str]) -> DataFrame:
     )
     blocks = lambda a, b: F.explode(F.sequence(F.floor(a / _BLOCK_TOKENS), F.floor((b - 1) / _BLOCK_TOKENS)))
     p = plan.withColumn("tb", blocks(F.col("first_token"), F.col("stop")))
-    q = sums.where("n > 0").select(*key, "range_no", "base", "n", blocks(F.col("base"), F.col("base") + F.col("n")).alias("tb"))
+    q = stitched.where("n > 0").select(*key, "range_no", "base", "n", blocks(F.col("base"), F.col("base") + F.col("n")).alias("tb"))
     # a range may lie inside one token of a piece and hold no token start, but the range with that start has its rest
-    wanted = p.join(q, [*key, "tb"]).where("first_token < base + n AND stop > base").groupBy(*key, "range_no").agg(F.collect_set(F.struct("piece_no", "first_token", "stop")).alias("pieces"))
+    piece = F.struct("piece_no", "first_token", "stop", "overlap_tokens", "boundary")
+    wanted = p.join(q, [*key, "tb"]).where("first_token < base + n AND stop > base").groupBy(*key, "range_no").agg(F.max("base").alias("base"), F.collect_set(piece).alias("pieces"))
 
     def parts_of(r):
-        g = of(r)
+        g = Range(r.body_, r.lead_, r.size_)
         n = len(g.spans)
         for p in r.pieces:
             a, b = p["first_token"] - r.base, p["stop"] - r.base
-            lo, hi = g.spans[a][0] if a >= 0 else None, g.spans[b - 1][1] if b <= n else None
-            part = g.body[g.spans[0][0] if lo is None else lo : g.spans[-1][1] if hi is None else hi]
             # white space between the tokens of two ranges comes from the halo of the later one
-            yield (*name(r), p["piece_no"], r.range_no, part, g.body[g.before : g.spans[0][0]] if lo is None else "")
+            lo = g.spans[a][0] if a >= 0 else g.before
+            hi = g.spans[b - 1][1] if b <= n else g.spans[-1][1]
+            yield (*name(r), p["piece_no"], r.range_no, p["first_token"], p["stop"] - p["first_token"], p["overlap_tokens"], p["boundary"], g.body[lo:hi])
 
-    parts = known.join(wanted, [*key, "range_no"]).mapInPandas(mapped(parts_of, [*key, "piece_no", "range_no", "part", "gap"]), kinds + ", piece_no int, range_no int, part string, gap string")
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "gap", "part"))), lambda x: F.concat(x["gap"], x["part"])), "")
-    texts = parts.groupBy(*key, "piece_no").agg(joined.alias("text"))
-    return plan.join(texts, [*key, "piece_no"]).select(*key, "piece_no", "first_token", (F.col("stop") - F.col("first_token")).alias("token_count"), "overlap_tokens", "text", "boundary")
+    columns = [*key, "piece_no", "range_no", "first_token", "token_count", "overlap_tokens", "boundary", "part"]
+    parts = ranges.select(*key, "range_no", "lead_", "size_", "body_").join(wanted, [*key, "range_no"]).mapInPandas(_mapped(parts_of, columns), kinds + ", piece_no int, range_no int, first_token long, token_count long, overlap_tokens long, boundary int, part string")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("range_no", "part"))), lambda x: x["part"]), "")
+    return parts.groupBy(*key, "piece_no", "first_token", "token_count", "overlap_tokens", "boundary").agg(joined.alias("text")).select(*key, "piece_no", "first_token", "token_count", "overlap_tokens", "text", "boundary")
 
 
 def file_ranges(spark: SparkSession, path: str, limit: int, overlap: int, range_bytes: int = 32 << 20) -> DataFrame:
@@ -230,6 +231,9 @@ def file_ranges(spark: SparkSession, path: str, limit: int, overlap: int, range_
                     start, stop = k * range_bytes, min(length, (k + 1) * range_bytes)
                     lo = max(0, start - 4 * HALO)
                     data = src.read_at(stop - lo, lo)
+                    while lo and not data[: start - lo].decode("utf-8", "ignore").strip(_BLANKS):  # back over white space
+                        more = max(0, lo - (1 << 16))
+                        data, lo = src.read_at(lo - more, more) + data, more
                     rest, more = b"", stop
                     while more < length:  # up to the end of the token that is open at the range's end
                         rest += src.read_at(min(1 << 16, length - more), more)

@@ -8,9 +8,29 @@ from millrace.llm import packing as pk
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def test_patterns_fill_the_units():
-    ps = pk.patterns(10, 3)
-    assert len(ps) == len(set(ps)) == 1 + 5 + 8 and all(sum(p) == 10 and list(p) == sorted(p, reverse=True) for p in ps)
+def test_patterns_fill_the_capacity():
+    means = [3.0, 10.5, 40.0, 77.7]
+    ways = pk.patterns(means, 100)
+    assert len({tuple(sorted(w.items())) for w in ways}) == len(ways) and all({c: int(100 / m)} in ways for c, m in enumerate(means))
+    for w in ways:
+        room = 100 - sum(means[c] * k for c, k in w.items())
+        assert 0 <= room and len(w) <= pk.MIXED and any(means[c] > room for c in w)
+
+
+def test_fitted_patterns_fill_most_containers_of_common_lengths():
+    rng = random.Random(3)
+    h = Counter(max(1, min(2048, int(rng.lognormvariate(5.5, 0.8)))) for _ in range(20000))
+    runs, fitted = pk.pack_sizes(h, 2048)
+    number = sum(n for _, n in runs)
+    assert fitted >= 0.8 * number and number <= 1.01 * sum(s * n for s, n in h.items()) / 2048 + 1
+
+
+def test_length_classes_share_the_tokens():
+    h = {s: 1 + s % 3 for s in range(1, 600)}
+    classes = pk.length_classes(h, 12)
+    assert [s for own, _ in classes for s in own] == sorted(h) and len(classes) <= 12
+    tokens = [sum(s * h[s] for s in own) for own, _ in classes]
+    assert max(tokens) < 2 * min(tokens)
 
 
 def test_nnls():
@@ -28,7 +48,7 @@ def test_nnls():
 def test_runs_hold_every_item_once(capacity):
     rng = random.Random(capacity)
     h = Counter(rng.randint(1, capacity) for _ in range(3000)) + Counter({capacity: 5, 1: 700})
-    runs = pk.pack_sizes(h, capacity)
+    runs, fitted = pk.pack_sizes(h, capacity)
     back = Counter()
     for content, n in runs:
         assert n > 0 and sum(s * k for s, k in content) <= capacity
@@ -37,7 +57,12 @@ def test_runs_hold_every_item_once(capacity):
     assert back == h
     least = -(-sum(s * n for s, n in h.items()) // capacity)
     assert sum(n for _, n in runs) <= least * 1.02 + 2
-    assert pk.pack_sizes({}, capacity) == []
+    at = 0
+    for content, n in runs:  # the fitted containers come first, and are full
+        if at < fitted:
+            assert sum(s * k for s, k in content) == capacity
+        at += n
+    assert fitted <= at and pk.pack_sizes({}, capacity) == ([], 0)
 
 
 def test_pack_table(spark):

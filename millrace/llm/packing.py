@@ -26,7 +26,7 @@ from millrace.storage import write_work
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Classes of document lengths, different classes in a pattern, numbers of documents of a class that are tried, weight of full
 #: containers in the fit, rounds of fitting, and share of more containers that a fit may need.
-CLASSES, MIXED, STEPS, FULL, ROUNDS, SPARE = 24, 3, 3, 4.0, 4, 0.01
+CLASSES, MIXED, STEPS, FULL, ROUNDS, SPARE = 24, 3, 3, 4.0, 4, 0.005
 #: Texts above this many characters are counted in stretches cut before a single blank, where no token can cross.
 STRETCH = 100_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")

@@ -1,9 +1,10 @@
 """Differences between two copies of a dataset (problem 4).
 
-Each side is reduced to its latest row per key by an aggregation that combines before the shuffle. Both sides then
-add their (key print, row print) pairs with opposite signs into one invertible Bloom lookup table per bucket of keys, so
-equal rows cancel inside the aggregation and only cells touched by a difference are left. Peeling a bucket's cells
-reveals the prints of the differing keys; only the rows of those keys are fetched and compared field by field. A
+Of each side only prints travel first: key print, order and row print, reduced to the latest state per key by an aggregation
+that combines before the shuffle. Both sides then add their (key print, row print) pairs with opposite signs into one
+invertible Bloom lookup table per bucket of keys, so equal rows cancel inside the aggregation and only cells touched by a
+difference are left. Peeling a bucket's cells reveals the prints of the differing keys; only the rows of those keys are
+fetched, by a semi join against the written key table, reduced to their latest state and compared field by field. A
 bucket with more differences than its table can hold does not peel: then all its keys are fetched, which is exact.
 """
 
@@ -15,9 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.storage import write_work
+
 #: Stands for "never expires" in whole seconds.
 NEVER_EPOCH = 253402300799
 _HASHES = 3
+#: Names beside the columns of the data, which may have any others.
+_K, _B = "__diff_key_print__", "__diff_bucket__"
 
 
 def json_value(col: Column) -> Column:
@@ -28,17 +33,30 @@ def json_value(col: Column) -> Column:
     return F.coalesce(v, col)
 
 
+def _named(df: DataFrame, key: Sequence[str]) -> DataFrame:
+    return df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key))
+
+
+def _key_print(key: Sequence[str], seed: int = 0) -> Column:
+    return F.xxhash64(*([F.lit(seed)] if seed else []), *[F.lower(F.col(k)) for k in key])
+
+
+def _rank(order: str, fields: Mapping[str, Column]) -> Column:
+    """(time, print of the fields): of rows with one key the greatest is the latest state."""
+    return F.struct(F.coalesce(F.unix_micros(F.col(order)), F.lit(-(2**63))).alias("o"), F.xxhash64(*[x for c in fields.values() for x in (c, c.isNull())]).alias("r"))
+
+
 def latest(df: DataFrame, key: Sequence[str], order: str, fields: Mapping[str, Column]) -> DataFrame:
     """The row with the greatest order value of each key (null order ranks lowest; of ties the one with the
     greater print of its fields, so the choice does not depend on row order). Keys with a null part are dropped."""
     row = F.struct(*[c.alias(n) for n, c in fields.items()])
-    rank = F.struct(F.coalesce(F.unix_micros(F.col(order)), F.lit(-(2**63))), F.xxhash64(*[x for n, c in fields.items() for x in (c, c.isNull())]))
-    return (
-        df.where(" AND ".join(f"`{k}` IS NOT NULL" for k in key))
-        .groupBy(*[F.lower(F.col(k)).alias(k) for k in key])
-        .agg(F.max_by(row, rank).alias("row"))
-        .select(*key, "row.*")
-    )
+    return _named(df, key).groupBy(*[F.lower(F.col(k)).alias(k) for k in key]).agg(F.max_by(row, _rank(order, fields)).alias("row")).select(*key, "row.*")
+
+
+def latest_prints(df: DataFrame, key: Sequence[str], order: str, fields: Mapping[str, Column]) -> DataFrame:
+    """(k, r): the key's print and the row print of the row that latest gives. Keys are told apart by 128 bits."""
+    rows = _named(df, key).select(_key_print(key).alias("k"), _key_print(key, 11).alias("k2"), _rank(order, fields).alias("m"))
+    return rows.groupBy("k", "k2").agg(F.max("m").alias("m")).select("k", "m.r")
 
 
 def _peel(m: int):
@@ -96,17 +114,17 @@ def _cell_col(x: Column, j: int, m: int) -> Column:
     return (F.shiftrightunsigned(x, j * 21).bitwiseAND(F.lit(0x1FFFFF)) % third + j * third).cast("int")
 
 
-def revealed_keys(a: DataFrame, b: DataFrame, buckets: int, cells: int) -> DataFrame:
-    """(bucket, k, whole): prints of keys whose rows differ between a and b, both with columns bucket, k, r."""
-    x = F.xxhash64("k", "r")
+def _bucket(buckets: int, k: str = "k") -> Column:
+    return F.pmod(F.xxhash64(k, F.lit(7)), F.lit(buckets)).cast("int")
 
-    def updates(side: DataFrame, sign: int) -> DataFrame:
-        place = F.explode(F.array(*[_cell_col(F.col("x"), j, cells) for j in range(_HASHES)]))
-        return side.select("bucket", "k", "r", x.alias("x")).select("bucket", place.alias("cell"), F.lit(sign).alias("n"), "k", "r", "x")
 
+def revealed_keys(a: DataFrame, b: DataFrame, buckets: int, cells: int) -> DataFrame:
+    """(bucket, k, whole): prints of keys whose rows differ between a and b, both with columns k, r. The pairs move to their
+    bucket once; tables are filled and peeled where they arrive."""
+    pairs = a.select("k", "r", F.lit(1).alias("n")).unionByName(b.select("k", "r", F.lit(-1).alias("n")))
+    placed = pairs.withColumns({"bucket": _bucket(buckets), "x": F.xxhash64("k", "r")}).repartition("bucket")
     left = (
-        updates(a, 1)
-        .unionByName(updates(b, -1))
+        placed.withColumn("cell", F.explode(F.array(*[_cell_col(F.col("x"), j, cells) for j in range(_HASHES)])))
         .groupBy("bucket", "cell")
         .agg(F.sum("n").alias("n"), *[F.expr(f"bit_xor({c})").alias(c) for c in "krx"])
         .where("n != 0 OR k != 0 OR r != 0 OR x != 0")
@@ -131,6 +149,7 @@ def copy_differences(
     compare gives, per field, the expression over a and the one over b, of one type; values differ unless equal
     or both null. Keys are compared and returned in lower case; rows with a null key part belong to no point and
     give no row. Each copy may hold earlier states: the row with the latest order value counts (see latest).
+    Extra columns are ignored; an empty side makes every key of the other one missing.
     A bucket's table has so many cells, whatever the size of the data; by default a bucket takes about 2048 rows (the
     counts come from the file footers), of which about 600 may differ. These settings bound memory, not
     results: overfull buckets are compared key by key.
@@ -140,22 +159,20 @@ def copy_differences(
     key = list(key)
     n = buckets or max(64, -(-max(a.count(), b.count()) // 2048))
 
-    def side(df: DataFrame, order: str, at: int) -> DataFrame:
-        rows = latest(df, key, order, {n: c[at] for n, c in compare.items()})
-        prints = F.xxhash64(*[x for n in compare for x in (F.col(n), F.col(n).isNull())])
-        rows = rows.withColumns({"k": F.xxhash64(*key), "r": prints})
-        return rows.withColumn("bucket", F.pmod(F.xxhash64("k", F.lit(7)), F.lit(n)).cast("int"))
-
-    sa, sb = side(a, order_a, 0), side(b, order_b, 1)
-    keys = revealed_keys(sa, sb, buckets, cells)
-    one, whole = keys.where("NOT whole").select("k").distinct(), keys.where("whole").select("bucket").distinct()
+    fields_a, fields_b = ({f: c[at] for f, c in compare.items()} for at in (0, 1))
+    # written, so that the joins below know the size of what they look for before they choose how to move the rows
+    keys = write_work(revealed_keys(latest_prints(a, key, order_a, fields_a), latest_prints(b, key, order_b, fields_b), n, cells), "revealed")
+    any_whole = bool(keys.where("whole").limit(1).count())
 
-    def fetched(s: DataFrame) -> DataFrame:
-        flagged = s.join(F.broadcast(whole.withColumn("all_keys", F.lit(True))), "bucket", "left")
-        rest, every = flagged.where("all_keys IS NULL"), flagged.where("all_keys")
-        return rest.join(one, "k", "left_semi").unionByName(every).select(*key, F.struct(*compare).alias("row"))
+    def fetched(df: DataFrame, order: str, fields: Mapping[str, Column]) -> DataFrame:
+        rows = _named(df, key).withColumn(_K, _key_print(key))
+        found = rows.join(keys.where("NOT whole").select(F.col("k").alias(_K)), _K, "left_semi")
+        if any_whole:
+            marked = rows.withColumn(_B, _bucket(n, _K)).join(keys.where("whole").select(F.col("bucket").alias(_B)), _B, "left_semi")
+            found = found.unionByName(marked.drop(_B))
+        return latest(found, key, order, fields).select(*key, F.struct(*compare).alias("row"))
 
-    both = fetched(sa).alias("a").join(fetched(sb).alias("b"), key, "full_outer").select(*key, F.col("a.row").alias("ra"), F.col("b.row").alias("rb"))
+    both = fetched(a, order_a, fields_a).alias("a").join(fetched(b, order_b, fields_b).alias("b"), key, "full_outer").select(*key, F.col("a.row").alias("ra"), F.col("b.row").alias("rb"))
     fields = [F.when(~F.col(f"ra.{n}").eqNullSafe(F.col(f"rb.{n}")), F.lit(n)) for n in compare]
     found = F.when(F.col("rb").isNull(), F.array(F.lit(only_a))).when(F.col("ra").isNull(), F.array(F.lit(only_b))).otherwise(F.array_compact(F.array(*fields)))
     return both.select(*key, F.explode(found).alias("difference"))

@@ -146,4 +146,15 @@ f AS (
   FROM b FULL JOIN i ON b.z = i.z AND b.p = i.p LEFT JOIN jb ON jb.z = b.z AND jb.p = b.p LEFT JOIN ji ON ji.z = i.z AND ji.p = i.p)
 SELECT access_zone_id, qdrant_point_id, difference FROM (SELECT access_zone_id, qdrant_point_id, unnest(diffs) AS difference FROM f) WHERE difference IS NOT NULL""",
 }
+SQL["p1_state"] = f"""
+WITH e AS (
+  SELECT lower(access_zone_id) AS access_zone_id, lower(binding_id) AS binding_id, operation_version AS v, coalesce(attempt_count, -1) AS a,
+         CASE {_TRIM} WHEN 'UPSERT_POINT' THEN 1 WHEN 'UPDATE_PAYLOAD' THEN 2 WHEN 'DELETE_POINT' THEN 3 ELSE 0 END AS op
+  FROM outbox_events WHERE access_zone_id IS NOT NULL AND binding_id IS NOT NULL AND operation_version IS NOT NULL),
+c AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY access_zone_id, binding_id, v ORDER BY a DESC, op DESC) AS r FROM e) WHERE r = 1 AND op <> 0),
+s AS (SELECT *, max(CASE WHEN op = 3 THEN v END) OVER w AS del, max(CASE WHEN op = 1 THEN v END) OVER w AS up
+  FROM c WINDOW w AS (PARTITION BY access_zone_id, binding_id)),
+l AS (SELECT *, coalesce(up > coalesce(del, up - 1), false) AS live FROM s WHERE up IS NOT NULL OR del IS NOT NULL),
+k AS (SELECT *, row_number() OVER (PARTITION BY access_zone_id, binding_id ORDER BY v DESC) AS k FROM l WHERE CASE WHEN live THEN op IN (1, 2) AND v >= up ELSE op = 3 END)
+SELECT access_zone_id, binding_id, v AS operation_version, CASE WHEN a < 0 THEN NULL ELSE CAST(a AS BIGINT) END AS attempt_count, NOT live AS deleted FROM k WHERE k = 1"""
 SQL["p5_counts"] = f"SELECT ref_table, ref_field, period, reason, count(*) AS n_refs FROM ({SQL['p5_found']}) GROUP BY ALL"

@@ -49,6 +49,31 @@ def test_change_feed_equals_replay_in_order(spark):
     got = apply_changes(spark.createDataFrame(rows, EVENTS).repartition(5)).collect()
     assert {(r.access_zone_id, r.binding_id): (r.operation_version, r.attempt_count, r.deleted) for r in got} == brute_state(rows)
     assert len(got) == len({(r.access_zone_id, r.binding_id) for r in got})
+    many = apply_changes(spark.createDataFrame(rows, EVENTS).repartition(5), buckets=23).collect()
+    assert sorted(many) == sorted(got)
+
+
+def test_merge_exports_bounded_tables():
+    import pyarrow as pa
+    from millrace.operators import change_feed as cf
+
+    names = ["bucket", "k0", *[f"{s}_{x}" for s in cf._SEQS for x in "va"]]
+
+    def batch(pairs):
+        n = len(pairs)
+        cols = [pa.array([b for b, _ in pairs], pa.int32()), pa.array([k for _, k in pairs])]
+        return pa.record_batch(cols + [pa.array(range(n), pa.int64())] * 6, names=names)
+
+    cf._ROWS, keep = 50, cf._ROWS
+    try:
+        rows = [(0, f"k{i % 300}") for i in range(1000)]
+        out = [r for b in cf._merge_states(1, "200MB", 100)(iter([batch(rows[i : i + 70]) for i in range(0, 1000, 70)])) for r in b.to_pylist()]
+        assert {r["k0"] for r in out} == {k for _, k in rows} and 300 < len(out) < 1000
+        rows = sorted((i % 7, f"k{i % 300}-{i % 7}") for i in range(5000))
+        out = [r for b in cf._merge_states(1, "200MB", bucketed=True)(iter([batch(rows[i : i + 333]) for i in range(0, 5000, 333)])) for r in b.to_pylist()]
+        assert sorted((r["bucket"], r["k0"]) for r in out) == sorted(set(rows))
+    finally:
+        cf._ROWS = keep
 
 
 def test_change_feed_empty_and_publication(spark, tmp_path):

@@ -95,7 +95,7 @@ def _merge_states(nkeys: int, memory_limit: str, most_keys: int = BUCKET_KEYS, b
                 rows += part.num_rows
                 if rows >= _ROWS:
                     flush()
-                    if not bucketed and con.execute("SELECT count(*) FROM state").fetchone()[0] >= most_keys:
+                    if not bucketed and con.execute("SELECT count(*) FROM state").fetchall()[0][0] >= most_keys:
                         yield from export()
         yield from export()
         con.close()

@@ -66,7 +66,7 @@ def test_merge_exports_bounded_tables():
 
     cf._ROWS, keep = 50, cf._ROWS
     try:
-        rows = [(0, f"k{i % 300}") for i in range(1000)]
+        rows = [(0, f"k{i // 2 % 300}") for i in range(1000)]
         out = [r for b in cf._merge_states(1, "200MB", 100)(iter([batch(rows[i : i + 70]) for i in range(0, 1000, 70)])) for r in b.to_pylist()]
         assert {r["k0"] for r in out} == {k for _, k in rows} and 300 < len(out) < 1000
         rows = sorted((i % 7, f"k{i % 300}-{i % 7}") for i in range(5000))

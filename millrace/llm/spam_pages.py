@@ -30,17 +30,23 @@ AUTOMATON = 1 << 17
 _DENSE = "\u3041-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _JOINED = "\u0e01-\u0e4e\u0e81-\u0ece\u1000-\u109f\u1780-\u17d3"
 _WORD = re.compile(f"[{_DENSE}]{{1,2}}|[{_JOINED}]{{1,4}}|[^\\W\\d_{_DENSE}{_JOINED}]+(?:['’-][^\\W\\d_{_DENSE}{_JOINED}]+)*")
+_PLAIN_WORD = re.compile("[a-z]+(?:['-][a-z]+)*")
+_MARKED = re.compile(r"[\d#@]")
 _MARK = re.compile(r"(?<!\S)[#@]\w|(?<![\w.,:-])(?:[^\W\d]*-?\d)")
 _TAG = re.compile(r"<[^<>\n]{1,2000}>")
 _LINK_TARGET = re.compile(r"\]\([^()\s]*\)")
 _ADDRESS = re.compile(r"\b(?:https?|ftp)://[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+", re.IGNORECASE)
-_CODE = re.compile(r"[=(){}\[\]].*[;{}]\s*$|^\s*[{}]\s*$|^\s*(?:let|var|const|for|if|while|return|def|class|function|import|from|select|insert|update|delete|create)\b.*[=(){}<>,;:]|^[\w./-]*[_.][\w./-]*\s*[:=]\s*\S+\s*$|\w\([^()]*\)\s*;?\s*$", re.IGNORECASE)
+_STATEMENT = re.compile(r"\s*(?:[{}]\s*$|(?:let|var|const|for|if|while|return|def|class|function|import|from|select|insert|update|delete|create)\b.*[=(){}<>,;:])|[\w./-]*[_.][\w./-]*\s*[:=]\s*\S+\s*$", re.IGNORECASE)
+_CODE_END = re.compile(r"[=(){}\[\]].*[;{}]\s*$|\w\([^()]*\)\s*;?\s*$")
+_CODE_LAST = (";", "{", "}", ")")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|^\W*\d{4}-\d\d-\d\d[T ]|^\W*(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b")
 _LEAD = re.compile(r"^\s*(?:[#>*+•–-]+|\d+[.)])\s+")
 # ends of sentences in many scripts (a blank is one in the joined ones), and the bars and arrows of menus and tables
-_CUT = re.compile(rf"(?<=[{_JOINED}])\s+(?=[{_JOINED}])|(?<=[.!?…])[\"'”’»)\]]*(?=\s)|(?<=[。！？؟।۔։။។])|\s[|>»·•→/]+\s|\|")
+_CUT = re.compile(rf"""(?<=[{_JOINED}])\s+(?=[{_JOINED}])|([.!?…][\"'”’»)\]]*)(?=\s)|([。！？؟।۔։။។])|\s[|>»·•→/]+\s|\|""")
+_PLAIN_CUT = re.compile(r"""([.!?][\"')\]]*)(?=\s)|\s[|>/]+\s|\|""")
 _END = re.compile(r"[.!?…。！？؟।۔։။។:][\"'”’»)\]*_]*\s*$")
-_SEPARATOR = re.compile(r"[,;،、，；|>»·•→]|\s[-–—/]\s")
+_SEPARATORS = ",;|>،、，；»·•→"
+_DASH = re.compile(r"\s[-–—/]\s")
 _DIGITS = re.compile(r"\d+")
 _SPACE = re.compile(r"\s+")
 
@@ -150,12 +156,16 @@ class Unit:
         if "<" in raw or "](" in raw or "://" in raw or "www." in raw:
             links = raw.count("](") + raw.count("<a ")
             plain, addresses = _ADDRESS.subn(" ", _LINK_TARGET.sub("] ", _TAG.sub(" ", raw)))
-        self.words = _WORD.findall(plain.casefold())
+        self.words = _PLAIN_WORD.findall(plain.lower()) if (plain_ascii := plain.isascii()) else _WORD.findall(plain.casefold())
         n = len(self.words)
         self.n = n + addresses  # an address is a word, of no clause
         self.name = " ".join(self.words)
-        shown = len(_SEPARATOR.findall(plain)) + len(_MARK.findall(plain)) + links + addresses
-        self.clause = SPREAD * shown <= n and n >= (ENDED if _END.search(plain) else OPEN)
+        shown = links + addresses + sum(map(plain.count, _SEPARATORS[:4] if plain_ascii else _SEPARATORS))
+        if _MARKED.search(plain):
+            shown += len(_MARK.findall(plain))
+        if " -" in plain or " /" in plain or not plain_ascii:
+            shown += len(_DASH.findall(plain))
+        self.clause = SPREAD * shown <= n and n >= ENDED and (n >= OPEN or bool(_END.search(plain[-12:])))
 
 
 def units(text: str) -> tuple[list[Unit], int]:
@@ -169,8 +179,8 @@ def units(text: str) -> tuple[list[Unit], int]:
         else:
             at = 0
             line = _LEAD.sub("", line, count=1)
-            for m in _CUT.finditer(line):
-                if part := line[at : m.start()].strip():
+            for m in (_PLAIN_CUT if line.isascii() else _CUT).finditer(line):
+                if part := line[at : m.end(m.lastindex) if m.lastindex else m.start()].strip():
                     out.append(Unit(part))
                 at = m.end()
             if part := line[at:].strip():
@@ -180,7 +190,9 @@ def units(text: str) -> tuple[list[Unit], int]:
 
 
 def _code(line: str) -> bool:
-    return bool(_CODE.search(_ADDRESS.sub(" ", _LINK_TARGET.sub("]", _TAG.sub(" ", line))) if "<" in line or "](" in line or "://" in line else line))
+    if "<" in line or "](" in line or "://" in line:
+        line = _ADDRESS.sub(" ", _LINK_TARGET.sub("]", _TAG.sub(" ", line)))
+    return bool(_STATEMENT.match(line) or line.rstrip()[-1:] in _CODE_LAST and _CODE_END.search(line))
 
 
 def _stuffed(parts: list[Unit], n: int, outside: int) -> set[str]:

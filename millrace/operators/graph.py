@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.storage import write_work
+
 # Relation types by class, those that may be followed backwards, weights and boosts.
 DOMAIN = "EXPLAINS RELATED_TO REPAIRED_BY OBSERVED_BY CONSTRAINED_BY PRODUCES CONSTRAINS PROTECTED_BY REQUIRES PUBLISHES_TO".split()
 STRUCTURAL = "DOCUMENT_CONTAINS_BLOCK BLOCK_CONTAINS_BLOCK BLOCK_PRODUCED_CHUNK CHUNK_PRODUCED_BY_BLOCK CHUNK_HAS_PARENT CHUNK_PREVIOUS_SIBLING CHUNK_NEXT_SIBLING CHUNK_SAME_TABLE".split()
@@ -93,23 +95,35 @@ def structural_edges(versions: DataFrame, segments: DataFrame, chunks: DataFrame
     return kept
 
 
-def table_neighbours(segments: DataFrame) -> DataFrame:
-    """Consecutive table blocks of a document version."""
-    w = Window.partitionBy("access_zone_id", "document_id", "document_version").orderBy(F.col("order_index").asc_nulls_last(), "block_id")
-    t = segments.where("block_type IN ('TABLE', 'TABLE_ROW')").withColumn("next_id", F.lead("block_id").over(w))
-    return t.where("next_id IS NOT NULL").select("access_zone_id", F.col("block_id").alias("source_id"), F.col("next_id").alias("target_id"), F.lit("CHUNK_SAME_TABLE").alias("relation_type"))
+def table_neighbours(rows: DataFrame, table: Sequence[str], row_index: str, key: str) -> DataFrame:
+    """Edges (*table, source_id, target_id, relation_type) between the rows of one table that follow one another in order
+    of row_index (null last; ties by key). Rows without a table give none; a table of one row gives none."""
+    w = Window.partitionBy(*table).orderBy(F.col(row_index).asc_nulls_last(), key)
+    t = rows.where(" AND ".join(f"{c} IS NOT NULL" for c in table)).withColumn("next_id", F.lead(key).over(w))
+    return t.where("next_id IS NOT NULL").select(*table, F.col(key).alias("source_id"), F.col("next_id").alias("target_id"), F.lit("CHUNK_SAME_TABLE").alias("relation_type"))
+
 
+def block_depths(segments: DataFrame) -> DataFrame:
+    """(access_zone_id, block_id, depth): the number of ancestors of each block, of whatever depth; null where the chain of
+    parents runs into a cycle. A parent that does not exist still counts.
 
-def block_depths(segments: DataFrame, rounds: int = 5) -> DataFrame:
-    """The number of ancestors of each block, by pointer doubling: 2^rounds levels in `rounds` joins. A chain that is
-    longer, or a cycle, counts 2^rounds."""
+    Pointers are doubled until all chains have ended, so a depth of n takes log n rounds. Each round is written and read
+    again, so plans do not grow; blocks whose chain goes on after as many rounds as the blocks could need are in cycles."""
     p = segments.select("access_zone_id", "block_id", F.col("parent_block_id").alias("up")).distinct()
     known = p.select("access_zone_id", F.col("block_id").alias("up"))
     p = p.join(known.withColumn("there", F.lit(True)), ["access_zone_id", "up"], "left").select("access_zone_id", "block_id", F.when(F.col("there"), F.col("up")).alias("up"), F.when(F.col("up").isNotNull(), 1).otherwise(0).alias("depth"))
-    for _ in range(rounds):
+    p = write_work(p, "depths")
+    most = max(1, p.count()).bit_length() + 1
+    for _ in range(most):
+        if not p.where("up IS NOT NULL").limit(1).count():
+            break
         q = p.select("access_zone_id", F.col("block_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("more"))
-        p = p.join(q, ["access_zone_id", "up"], "left").select("access_zone_id", "block_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    return p.select("access_zone_id", "block_id", F.least("depth", F.lit(2**rounds)).alias("depth"))
+        p = write_work(p.join(q, ["access_zone_id", "up"], "left").select("access_zone_id", "block_id", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")), "depths")
+    return p.select("access_zone_id", "block_id", F.when(F.col("up").isNull(), F.col("depth")).alias("depth"))
+
+
+#: Stands for the depth of blocks in cycles where blocks are ordered.
+CYCLIC = 1000
 
 
 def select_blocks(segments: DataFrame, depths: DataFrame, chunks: DataFrame, per_parent: int = 100, total: int = 3000) -> DataFrame:
@@ -117,7 +131,7 @@ def select_blocks(segments: DataFrame, depths: DataFrame, chunks: DataFrame, per
     per_parent under one parent (sections excepted) and total in all. The running count of the rule equals a row number."""
     base = F.when(F.col("block_type") == "DOCUMENT", 0).when(F.col("block_type") == "SECTION", 10).when(F.col("block_type") == "SUBSECTION", 20).when(F.col("block_type") == "TABLE", 30).when(F.col("block_type").isin("PARAGRAPH", "TABLE_ROW", "LIST_ITEM", "FAQ_ITEM"), 40).otherwise(90)
     used = chunks.where("source_block_id IS NOT NULL").select("access_zone_id", F.col("source_block_id").alias("block_id")).distinct().withColumn("used", F.lit(0))
-    b = segments.join(depths, ["access_zone_id", "block_id"]).join(used, ["access_zone_id", "block_id"], "left").withColumn("place", base + F.col("depth"))
+    b = segments.join(depths, ["access_zone_id", "block_id"]).join(used, ["access_zone_id", "block_id"], "left").withColumn("place", base + F.coalesce("depth", F.lit(CYCLIC)))
     doc = ["access_zone_id", "document_id", "document_version"]
     order = ["place", F.coalesce("used", F.lit(1)), F.col("order_index").asc_nulls_last(), "block_id"]
     b = b.withColumn("nth", F.row_number().over(Window.partitionBy(*doc, "parent_block_id").orderBy(*order)))

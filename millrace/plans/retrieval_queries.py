@@ -35,16 +35,8 @@ def search_dense(spark: SparkSession, d: str) -> DataFrame:
     return search.dense_topk(_stated(v, "vec_id").withColumnRenamed("vec_id", "query_id"), v, 10, "query_id", ["vec_id"])
 
 
-def search_dense_visible(spark: SparkSession, d: str) -> DataFrame:
-    """K01 behind F01: only rows of the query's zone (label) and within the caller's level, itself left out. The table has no
-    level: its SQL makes one from the id, which hides half of the rows; search_dense_same_label searches all of them."""
-    v = _vectors(spark, d)
-    q = _stated(v, "vec_id").withColumnRenamed("vec_id", "query_id")
-    return search.dense_topk(q, v.where(F.col("vec_id") % 4 + 1 <= 2), 5, "query_id", ["vec_id"], same="label", not_self="vec_id")
-
-
 def search_dense_same_label(spark: SparkSession, d: str) -> DataFrame:
-    """All rows of the query's zone (label), itself left out."""
+    """K01 behind F01: all rows of the query's zone (label), itself left out."""
     v = _vectors(spark, d)
     return search.dense_topk(_stated(v, "vec_id").withColumnRenamed("vec_id", "query_id"), v, 5, "query_id", ["vec_id"], same="label", not_self="vec_id")
 
@@ -194,7 +186,7 @@ def eval_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (search_dense, search_dense_visible, search_dense_same_label, search_sparse, search_lexical, search_neighbours, search_recent, fusion_segments, fusion_rrf, fusion_weighted, fusion_weighted_normalized, fusion_groups, score_relevance, coverage_intents, coverage_branches, diversified, budgeted, eval_ir, eval_macro, eval_latency, eval_stability, eval_intervals)
+    for f in (search_dense, search_dense_same_label, search_sparse, search_lexical, search_neighbours, search_recent, fusion_segments, fusion_rrf, fusion_weighted, fusion_weighted_normalized, fusion_groups, score_relevance, coverage_intents, coverage_branches, diversified, budgeted, eval_ir, eval_macro, eval_latency, eval_stability, eval_intervals)
 } | {"merge_by_score": _merged("SCORE_THEN_TRUNCATE"), "merge_direct_first": _merged("DIRECT_FIRST"), "merge_append": _merged("GRAPH_AS_CONTEXT_APPEND")}
 
 _RELATED = """WITH related AS (
@@ -229,9 +221,6 @@ SQL = {
     "search_dense": f"""
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0)
 SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
-    "search_dense_visible": f"""
-WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND v.vec_id % 4 + 1 <= 2 AND q.label = v.label AND q.vec_id <> v.vec_id)
-SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
     "search_dense_same_label": f"""
 WITH s AS (SELECT q.vec_id AS query_id, v.vec_id, {_COS} AS score FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0 AND q.label = v.label AND q.vec_id <> v.vec_id)
 SELECT query_id, vec_id, score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",

@@ -90,21 +90,10 @@ def rechecked(spark: SparkSession, d: str) -> DataFrame:
     return serving.recheck(c, views.bindings(spark, d), views.chunks(spark, d), views.versions(spark, d), 3, AS_OF)
 
 
-def _seeds(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "related_chunks").select(F.lower("seed_access_zone_id").alias("access_zone_id"), F.lower("seed_chunk_id").alias("chunk_id")).distinct()
-    return ranking.ranked(r.withColumn("query_id", F.col("access_zone_id")), ["query_id"], ["chunk_id"], "seed_rank", 10)
-
-
 _RELATIONS = [*graph.DOMAIN, *graph.SIMILARITY, "CHUNK_HAS_PARENT", "CHUNK_NEXT_SIBLING", "LEADS_TO"]
 
 
 def graph_one_hop(spark: SparkSession, d: str) -> DataFrame:
-    """Ten seeds a zone, as its SQL says, their forty best edges in turn, scored;
-    graph_one_hop_seeds expands all seeds."""
-    return _one_hop(spark, d, _seeds(spark, d))
-
-
-def graph_one_hop_seeds(spark: SparkSession, d: str) -> DataFrame:
     """Every seed is a query of its own, its forty best edges, scored."""
     r = table(spark, d, "related_chunks").select(F.lower("seed_access_zone_id").alias("access_zone_id"), F.lower("seed_chunk_id").alias("chunk_id")).distinct()
     return _one_hop(spark, d, r.select(F.concat_ws("/", "access_zone_id", "chunk_id").alias("query_id"), "*", F.lit(1).alias("seed_rank")))
@@ -122,18 +111,13 @@ def graph_structure(spark: SparkSession, d: str) -> DataFrame:
 
 
 def graph_tables(spark: SparkSession, d: str) -> DataFrame:
-    """G03, W05."""
-    return graph.table_neighbours(views.segments(spark, d))
+    """The smaller chunks cut from one table, in order of their number, which stands for that of the row."""
+    t = views.segments(spark, d).where("block_type = 'TABLE'").select("access_zone_id", F.col("block_id").alias("source_block_id"))
+    c = views.chunks(spark, d).where("granularity IN ('SUB_180', 'SUB_260')").join(t, ["access_zone_id", "source_block_id"], "left_semi")
+    return graph.table_neighbours(c, ["access_zone_id", "source_block_id", "granularity"], "sequence_no", "chunk_id")
 
 
 def graph_blocks(spark: SparkSession, d: str) -> DataFrame:
-    """At most three blocks under a parent and ten a document version, as its SQL says; graph_blocks_all has the
-    limits of the service."""
-    s = views.segments(spark, d)
-    return graph.select_blocks(s, graph.block_depths(s), views.chunks(spark, d), 3, 10)
-
-
-def graph_blocks_all(spark: SparkSession, d: str) -> DataFrame:
     """The blocks that become graph nodes, within the limits of the service."""
     s = views.segments(spark, d)
     return graph.select_blocks(s, graph.block_depths(s), views.chunks(spark, d))
@@ -153,7 +137,7 @@ def graph_summary(spark: SparkSession, d: str) -> DataFrame:
     return graph.edge_summary(e).withColumn("class", graph.relation_class(F.col("relation_type")))
 
 
-QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, scan_payloads, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_one_hop_seeds, graph_structure, graph_tables, graph_blocks, graph_blocks_all, graph_fan_out, graph_summary)}
+QUERIES = {f.__name__: f for f in (scan_points, scan_group, scan_parents, scan_latest_points, scan_counts, scan_payloads, visible_index, visible_text, hydrated, hydrated_coverage, rechecked, graph_one_hop, graph_structure, graph_tables, graph_blocks, graph_fan_out, graph_summary)}
 
 _T = f"TIMESTAMPTZ '{AS_OF}+00'"
 _LIVE_VERSION = "SELECT access_zone_id, document_id, document_version FROM versions WHERE status = 'ACTIVE' AND lifecycle_status = 'ACTIVE'"
@@ -206,14 +190,6 @@ JOIN chunks p ON p.access_zone_id = k.access_zone_id AND p.chunk_id = k.parent_c
 JOIN versions d ON d.access_zone_id = m.access_zone_id AND d.document_id = m.document_id AND d.document_version = m.document_version AND d.status = 'ACTIVE' AND d.lifecycle_status = 'ACTIVE'
 LEFT JOIN bindings b ON b.access_zone_id = k.access_zone_id AND b.binding_id = k.binding_id
 WHERE k.binding_id IS NULL OR (b.chunk_id = m.chunk_id AND b.document_id = m.document_id AND b.document_version = m.document_version AND b.parent_chunk_id IS NOT DISTINCT FROM m.parent_id AND b.lifecycle_status = 'ACTIVE' AND b.qdrant_sync_status = 'SYNCED' AND (b.expires_at IS NULL OR b.expires_at > {_T}) AND b.access_level <= 3 AND b.representation_type = 'ORIGINAL')""",
-    "graph_one_hop": views.with_tables("edges")
-    + f""", s AS (SELECT * FROM (SELECT access_zone_id, chunk_id, row_number() OVER (PARTITION BY access_zone_id ORDER BY chunk_id) AS seed_rank FROM (SELECT DISTINCT lower(seed_access_zone_id) AS access_zone_id, lower(seed_chunk_id) AS chunk_id FROM related_chunks)) WHERE seed_rank <= 10),
-e AS (SELECT * FROM edges WHERE lifecycle_status = 'ACTIVE' AND NOT coalesce(quarantined, false) AND source_node_type = 'CHUNK' AND target_node_type = 'CHUNK' AND relation_type IN ({_DOMAIN}, 'CHUNK_SEMANTIC_SIMILAR', 'CHUNK_HAS_PARENT', 'CHUNK_NEXT_SIBLING')),
-c AS (SELECT s.*, e.edge_id, relation_type, relation_score, relation_source, relation_rank, target_node_id AS related_id FROM s JOIN e ON e.access_zone_id = s.access_zone_id AND e.source_node_id = s.chunk_id
-  UNION ALL SELECT s.*, e.edge_id, relation_type, relation_score, relation_source, relation_rank, source_node_id FROM s JOIN e ON e.access_zone_id = s.access_zone_id AND e.target_node_id = s.chunk_id WHERE relation_type IN ('CHUNK_SAME_TABLE', 'CHUNK_SEMANTIC_SIMILAR', 'RELATED_TO')),
-r AS (SELECT *, row_number() OVER (PARTITION BY access_zone_id, chunk_id ORDER BY {_ORDER}) AS t FROM c),
-x AS (SELECT *, row_number() OVER (PARTITION BY access_zone_id ORDER BY t, seed_rank, {_ORDER}) AS n FROM r)
-SELECT access_zone_id AS query_id, chunk_id AS seed_chunk_id, related_id AS chunk_id, edge_id, relation_type, round(0.8::DOUBLE * CAST(relation_score AS DOUBLE) * {_CASE(graph.WEIGHTS, 0.6)}, 6) AS score, round(0.8::DOUBLE * {_CASE(graph.BOOSTS, 0.5)} * CAST(relation_score AS DOUBLE), 6) AS legacy_score FROM x WHERE n <= 40 AND chunk_id <> related_id""",
     "graph_structure": views.with_tables("versions", "segments", "chunks")
     + """, kid AS (SELECT *, lead(chunk_id) OVER (PARTITION BY access_zone_id, parent_id ORDER BY sequence_no ASC NULLS LAST, chunk_id) AS next_id FROM chunks WHERE granularity IN ('SUB_180', 'SUB_260') AND parent_id IS NOT NULL),
 e AS (
@@ -225,16 +201,17 @@ e AS (
   UNION ALL SELECT access_zone_id, 'CHUNK', next_id, 'CHUNK', chunk_id, 'CHUNK_PREVIOUS_SIBLING', -1 FROM kid WHERE next_id IS NOT NULL),
 n AS (SELECT access_zone_id, 'DOCUMENT' AS type, document_id AS id FROM versions UNION SELECT access_zone_id, 'LOGICAL_BLOCK', block_id FROM segments UNION SELECT access_zone_id, 'CHUNK', chunk_id FROM chunks)
 SELECT e.* FROM e WHERE (source_id <> target_id OR source_type <> target_type) AND EXISTS (SELECT 1 FROM n WHERE n.access_zone_id = e.access_zone_id AND type = source_type AND id = source_id) AND EXISTS (SELECT 1 FROM n WHERE n.access_zone_id = e.access_zone_id AND type = target_type AND id = target_id)""",
-    "graph_tables": views.with_tables("segments")
-    + " SELECT access_zone_id, block_id AS source_id, next_id AS target_id, 'CHUNK_SAME_TABLE' AS relation_type FROM (SELECT *, lead(block_id) OVER (PARTITION BY access_zone_id, document_id, document_version ORDER BY order_index ASC NULLS LAST, block_id) AS next_id FROM segments WHERE block_type IN ('TABLE', 'TABLE_ROW')) WHERE next_id IS NOT NULL",
+    "graph_tables": views.with_tables("segments", "chunks")
+    + """, t AS (SELECT c.* FROM chunks c WHERE granularity IN ('SUB_180', 'SUB_260') AND EXISTS (SELECT 1 FROM segments s WHERE s.block_type = 'TABLE' AND s.access_zone_id = c.access_zone_id AND s.block_id = c.source_block_id))
+SELECT access_zone_id, source_block_id, granularity, chunk_id AS source_id, next_id AS target_id, 'CHUNK_SAME_TABLE' AS relation_type FROM (SELECT *, lead(chunk_id) OVER (PARTITION BY access_zone_id, source_block_id, granularity ORDER BY sequence_no ASC NULLS LAST, chunk_id) AS next_id FROM t) WHERE next_id IS NOT NULL""",
     "graph_blocks": views.with_tables("segments", "chunks").replace("WITH ", "WITH RECURSIVE ", 1)
     + """, up AS (SELECT access_zone_id, block_id, block_id AS at, 0 AS depth FROM segments UNION ALL SELECT u.access_zone_id, u.block_id, s.parent_block_id, u.depth + 1 FROM up u JOIN segments s ON s.access_zone_id = u.access_zone_id AND s.block_id = u.at WHERE s.parent_block_id IS NOT NULL AND u.depth < 32),
 d AS (SELECT access_zone_id, block_id, max(depth) AS depth FROM up GROUP BY ALL),
 b AS (SELECT s.*, CASE block_type WHEN 'DOCUMENT' THEN 0 WHEN 'SECTION' THEN 10 WHEN 'SUBSECTION' THEN 20 WHEN 'TABLE' THEN 30 WHEN 'PARAGRAPH' THEN 40 WHEN 'TABLE_ROW' THEN 40 WHEN 'LIST_ITEM' THEN 40 WHEN 'FAQ_ITEM' THEN 40 ELSE 90 END + depth AS place,
   CASE WHEN EXISTS (SELECT 1 FROM chunks c WHERE c.access_zone_id = s.access_zone_id AND c.source_block_id = s.block_id) THEN 0 ELSE 1 END AS used FROM segments s JOIN d USING (access_zone_id, block_id)),
 p AS (SELECT *, row_number() OVER (PARTITION BY access_zone_id, document_id, document_version, parent_block_id ORDER BY place, used, order_index ASC NULLS LAST, block_id) AS nth FROM b),
-t AS (SELECT *, row_number() OVER (PARTITION BY access_zone_id, document_id, document_version ORDER BY place, used, order_index ASC NULLS LAST, block_id) AS n FROM p WHERE nth <= 3 OR block_type IN ('DOCUMENT', 'SECTION', 'SUBSECTION'))
-SELECT access_zone_id, document_id, document_version, block_id, CAST(place AS INTEGER) AS place, CAST(n AS INTEGER) AS n FROM t WHERE n <= 10""",
+t AS (SELECT *, row_number() OVER (PARTITION BY access_zone_id, document_id, document_version ORDER BY place, used, order_index ASC NULLS LAST, block_id) AS n FROM p WHERE nth <= 100 OR block_type IN ('DOCUMENT', 'SECTION', 'SUBSECTION'))
+SELECT access_zone_id, document_id, document_version, block_id, CAST(place AS INTEGER) AS place, CAST(n AS INTEGER) AS n FROM t WHERE n <= 3000""",
     "graph_fan_out": views.with_tables("segments", "chunks")
     + """, r AS (SELECT access_zone_id || '/' || block_id AS relation_id, access_zone_id, parent_block_id, block_id FROM segments WHERE parent_block_id IS NOT NULL),
 b AS (SELECT DISTINCT access_zone_id, lower(block) AS block_id, chunk_id FROM (SELECT access_zone_id, chunk_id, unnest(source_block_ids) AS block FROM chunks WHERE granularity <> 'SOURCE')),
@@ -243,9 +220,7 @@ SELECT relation_id, source_chunk, target_chunk FROM j WHERE n <= 64""",
     "graph_summary": views.with_tables("edges")
     + f" SELECT relation_type, count(*) AS n, round(avg(CAST(relation_score AS DOUBLE)), 6) AS avg_score, round(min(CAST(relation_score AS DOUBLE)), 6) AS min_score, round(max(CAST(relation_score AS DOUBLE)), 6) AS max_score, CASE WHEN relation_type IN ({_DOMAIN}) THEN 'SEMANTIC_DOMAIN' WHEN relation_type = 'CHUNK_SEMANTIC_SIMILAR' THEN 'SEMANTIC_SIMILARITY' ELSE 'STRUCTURAL' END AS class FROM edges GROUP BY relation_type",
 }
-# the same with the limits of the service
-SQL["graph_blocks_all"] = SQL["graph_blocks"].replace("nth <= 3 ", "nth <= 100 ").replace("n <= 10", "n <= 3000")
-SQL["graph_one_hop_seeds"] = (
+SQL["graph_one_hop"] = (
     views.with_tables("edges")
     + f""", s AS (SELECT DISTINCT lower(seed_access_zone_id) AS access_zone_id, lower(seed_chunk_id) AS chunk_id FROM related_chunks),
 e AS (SELECT * FROM edges WHERE lifecycle_status = 'ACTIVE' AND NOT coalesce(quarantined, false) AND source_node_type = 'CHUNK' AND target_node_type = 'CHUNK' AND relation_type IN ({_DOMAIN}, 'CHUNK_SEMANTIC_SIMILAR', 'CHUNK_HAS_PARENT', 'CHUNK_NEXT_SIBLING')),

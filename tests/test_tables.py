@@ -85,8 +85,43 @@ def test_one_hop(spark):
 
 
 def test_depths_with_cycle_and_missing_parent(spark):
-    s = spark.createDataFrame([("z", "a", None), ("z", "b", "a"), ("z", "c", "b"), ("z", "x", "y"), ("z", "y", "x"), ("z", "o", "gone")], "access_zone_id string, block_id string, parent_block_id string")
-    assert {r.block_id: r.depth for r in graph.block_depths(s, 4).collect()} == {"a": 0, "b": 1, "c": 2, "x": 16, "y": 16, "o": 1}
+    s = spark.createDataFrame([("z", "a", None), ("z", "b", "a"), ("z", "c", "b"), ("z", "x", "y"), ("z", "y", "x"), ("z", "w", "x"), ("z", "o", "gone")], "access_zone_id string, block_id string, parent_block_id string")
+    assert {r.block_id: r.depth for r in graph.block_depths(s).collect()} == {"a": 0, "b": 1, "c": 2, "x": None, "y": None, "w": None, "o": 1}
+    assert graph.block_depths(s.limit(0)).count() == 0
+    chain = spark.createDataFrame([("z", f"b{i}", f"b{i - 1}" if i else None) for i in range(100)], "access_zone_id string, block_id string, parent_block_id string")
+    assert {r.block_id: r.depth for r in graph.block_depths(chain).collect()} == {f"b{i}": i for i in range(100)}
+
+
+def test_table_neighbours(spark):
+    r = spark.createDataFrame([("z", "t1", 1, "a"), ("z", "t1", 2, "b"), ("z", "t2", 1, "c"), ("z", "t1", None, "d"), ("z", None, 1, "e"), ("y", "t1", 3, "f")], "zone string, tab string, i int, id string")
+    assert {(x.source_id, x.target_id) for x in graph.table_neighbours(r, ["zone", "tab"], "i", "id").collect()} == {("a", "b"), ("b", "d")}
+
+
+def test_guards_and_fences(spark):
+    from millrace.operators import lifecycle as lc
+
+    b = spark.createDataFrame([("z", "1", "DELETED", "2025-01-01 00:00:00", 3, None), ("z", "2", "DELETED", "2025-12-31 00:00:00", 1, True), ("z", "3", "ACTIVE", None, None, False), (None, "4", "DELETED", None, 9, True)], "zone string, id string, state string, at string, gen long, hold boolean").withColumn("at", F.to_timestamp("at"))
+    gone = F.col("state") == "DELETED"
+    held = lc.held_by(b, {"x": (b.where("hold"), ["zone", "id"]), "y": (b.where("gen > 0"), ["zone"])})
+    assert {r.id: r.held_by for r in held.collect()} == {"1": ["y"], "2": ["x", "y"], "3": ["y"], "4": []}
+    assert [r.id for r in lc.purgeable(b, gone, F.col("at"), "2026-01-01 00:00:00", 30, {}).collect()] == ["1"]
+    p = spark.createDataFrame([("z", "1"), ("z", "2"), ("z", "3"), ("z", "9"), ("z", "9")], "zone string, id string")
+    assert {r.id: r.verdict for r in lc.deletable_points(p, b, ["zone", "id"], gone, F.col("hold")).collect()} == {"1": "DELETABLE", "2": "SKIPPED_LEGAL_HOLD", "9": "ORPHAN"}
+    e = spark.createDataFrame([("z", "1", 3), ("z", "1", 2), ("z", "2", 9), ("z", "3", 0), ("z", "9", 1)], "zone string, id string, v long")
+    assert [(r.id, r.v, r.verdict) for r in lc.fenced_deletes(e, b, ["zone", "id"], "v", "gen", F.col("hold")).orderBy("id", "v").collect()] == [("1", 2, "STALE"), ("1", 3, "APPLY"), ("2", 9, "HELD"), ("3", 0, "APPLY"), ("9", 1, "ORPHAN")]
+    t = lc.cascade(b.where(gone).select("zone"), ["zone"], {"p": (p, "id")}, b.where("hold AND id = '4'").select("zone"))
+    assert {(r.table_name, r.row_id) for r in t.collect()} == {("p", "1"), ("p", "2"), ("p", "3"), ("p", "9")}
+    assert lc.cascade(b.select("zone"), ["zone"], {"p": (p, "id")}, b.select("zone")).count() == 0
+
+
+def test_zone_resolution(spark):
+    from millrace.operators import lifecycle as lc
+
+    reg = spark.createDataFrame([("i1", "0001"), ("i2", "0002"), ("i2", "0002")], "zone_id string, zone_code string")
+    rows = [("order", ["0002", "0001", "0002"], None), ("both", ["0001"], ["i1"]), ("differ", ["0001"], ["i2"]), ("unknown", ["0009"], None), ("empty", [], None), ("nothing", None, None), ("ids", None, ["i2", "i1"])]
+    r = lc.resolve_zones(spark.createDataFrame(rows, "r string, c array<string>, i array<string>"), reg, "r", "c", "i").collect()
+    assert {x.r: (x.zones, x.error) for x in r} == {"order": (["i2", "i1"], None), "both": (["i1"], None), "differ": ([], "MISMATCH"), "unknown": ([], "UNKNOWN"), "empty": ([], "EMPTY"), "nothing": ([], "EMPTY"), "ids": (["i2", "i1"], None)}
+    assert lc.resolve_zones(spark.createDataFrame(rows, "r string, c array<string>, i array<string>"), reg, "r", "c", "i", 1).where("r = 'order'").first().error == "TOO_MANY"
 
 
 def test_audits(spark):
@@ -210,7 +245,7 @@ def test_blocks_are_cut_at_the_limits_of_the_service_only(spark, tmp_path):
     spark.createDataFrame(rows, "access_zone_id string, document_id string, document_version long, block_id string, parent_block_id string, block_type string, order_index int").write.parquet(f"{tmp_path}/text_segments.parquet")
     c = "access_zone_id string, document_id string, document_version long, id string, root_id string, source_id string, parent_id string, granularity string, sequence_no int, token_count long, content string, source_block_id string, source_block_ids array<string>, profile_version string, lifecycle_status string, created_at timestamp"
     spark.createDataFrame([], c).write.parquet(f"{tmp_path}/generated_chunks.parquet")
-    got = [r.block_id for r in QUERIES["graph_blocks_all"](spark, str(tmp_path)).collect()]
+    got = [r.block_id for r in QUERIES["graph_blocks"](spark, str(tmp_path)).collect()]
     assert len(got) == 141 and {f"s{i:03d}" for i in range(100)} | {f"e{i:02d}" for i in range(40)} | {"top"} == set(got)
 
 
@@ -221,5 +256,5 @@ def test_every_seed_of_a_zone_is_expanded(spark, tmp_path):
     rows = [("z", f"e{i:02d}", "CHUNK", f"s{i:02d}", "CHUNK", f"t{i:02d}", "EXPLAINS", 0.5, "Q", 1, "ACTIVE", False, "d") for i in range(60)]
     e = "access_zone_id string, edge_id string, source_node_type string, source_node_id string, target_node_type string, target_node_id string, relation_type string, relation_score float, relation_source string, relation_rank int, lifecycle_status string, quarantined boolean, document_id string"
     spark.createDataFrame(rows, e).write.parquet(f"{tmp_path}/graph_edges.parquet")
-    got = QUERIES["graph_one_hop_seeds"](spark, str(tmp_path)).collect()
+    got = QUERIES["graph_one_hop"](spark, str(tmp_path)).collect()
     assert {(r.query_id, r.chunk_id) for r in got} == {(f"z/s{i:02d}", f"t{i:02d}") for i in range(60)} and len(got) == 60

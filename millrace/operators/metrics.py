@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,19 @@ def macro(metrics: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Data
     return metrics.groupBy(*by).agg(F.count("*").alias("n_queries"), *[F.round(F.avg(c), 6).alias(c) for c in columns])
 
 
+def no_answer(outcomes: DataFrame, by: Sequence[str] = (), thresholds: Mapping[str, float] | None = None) -> DataFrame:
+    """Outcomes (*by, expected_empty, answered) per query, by slice: precision and recall of giving no answer, the share of
+    answerable queries that got none (false abstention), and whether all thresholds hold: a least value for the first two, a
+    greatest for the last. 0 where there is nothing to divide by; null flags count as false."""
+    limits = {"no_answer_precision": 0.0, "no_answer_recall": 0.0, "false_abstention": 1.0, **(thresholds or {})}
+    empty, silent = F.coalesce("expected_empty", F.lit(False)), ~F.coalesce("answered", F.lit(False))
+    g = outcomes.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(silent).alias("s"), F.count_if(empty).alias("e"), F.count_if(silent & empty).alias("both"))
+    answerable = F.col("n") - F.col("e")
+    out = g.select(*by, F.col("n").alias("n_queries"), F.round(ratio(F.col("both"), F.col("s")), 6).alias("no_answer_precision"), F.round(ratio(F.col("both"), F.col("e")), 6).alias("no_answer_recall"), F.round(ratio(F.col("s") - F.col("both"), answerable), 6).alias("false_abstention"))
+    holds = (F.col("no_answer_precision") >= limits["no_answer_precision"]) & (F.col("no_answer_recall") >= limits["no_answer_recall"]) & (F.col("false_abstention") <= limits["false_abstention"])
+    return out.withColumn("passed", holds)
+
+
 def ratio(part: Column, whole: Column) -> Column:
     """0 where there is nothing to divide by."""
     return F.when(whole > 0, part / whole).otherwise(0.0)

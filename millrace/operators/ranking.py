@@ -112,6 +112,31 @@ def coverage(intents: DataFrame, covered: DataFrame, query: str = "query_id") ->
     return every.join(out, query, "left").select(query, t.alias("required_total"), c.alias("required_covered"), ratio.alias("ratio"), status.alias("status"), F.coalesce("uncovered", F.array().cast("array<bigint>")).alias("uncovered"))
 
 
+def segment_coverage(segments: DataFrame, hits: DataFrame, query: str = "query_id") -> DataFrame:
+    """Segments (query, segment_index, required) against the segments that brought in results, (query, segment_index): how many
+    of the required ones did, which did not, and the status, read as for intents. Repeated rows count once."""
+    s = segments.groupBy(query, "segment_index").agg(F.max("required").alias("required"))
+    hit = s.join(hits.select(query, "segment_index").distinct().withColumn("hit", F.lit(True)), [query, "segment_index"], "left")
+    need, have = F.col("required"), F.col("required") & F.col("hit").isNotNull()
+    g = hit.groupBy(query).agg(F.count_if(need).alias("required_total"), F.count_if(have).alias("required_covered"), F.array_sort(F.collect_list(F.when(need & F.col("hit").isNull(), F.col("segment_index")))).alias("uncovered"))
+    status = F.when((F.col("required_total") == 0) | (F.col("required_covered") == 0), "INSUFFICIENT").when(F.col("required_total") == F.col("required_covered"), "FOUND").otherwise("DEGRADED")
+    return g.select(query, "required_total", "required_covered", "uncovered", status.alias("status"))
+
+
+def checked_enrichments(rows: DataFrame, key: Sequence[str], source: str, variants: str, most_bytes: int = 4096, least: float = 0.35) -> DataFrame:
+    """(*key, variant, overlap, verdict) of the variants (array<string>) made of a source text: VALIDATED if at least the given
+    share of the variant's words is in the source, REJECTED if it has none, else UNCERTAIN. Of variants alike but for case the first
+    stays; null ones, those of more than most_bytes bytes and those equal to the source are dropped."""
+    from millrace.functions.text import lexical_overlap, word_set
+
+    kept = F.filter(F.coalesce(F.col(variants), F.array().cast("array<string>")), lambda v: v.isNotNull() & (F.octet_length(v) <= most_bytes) & ~v.eqNullSafe(F.col(source)))
+    low = F.transform("kept_", lambda v: F.lower(v))
+    one = rows.select(*key, F.col(source).alias("source_"), kept.alias("kept_")).select(*key, "source_", F.explode(F.filter("kept_", lambda v, i: F.array_position(low, F.lower(v)) == i + 1)).alias("variant"))
+    share = F.round(lexical_overlap(F.col("variant"), F.coalesce("source_", F.lit(""))), DECIMALS)
+    verdict = F.when(F.size(word_set(F.col("variant"))) <= 0, "REJECTED").when(share >= least, "VALIDATED").otherwise("UNCERTAIN")
+    return one.select(*key, "variant", share.alias("overlap"), verdict.alias("verdict"))
+
+
 def branch_summary(statuses: DataFrame, by: Sequence[str]) -> DataFrame:
     """Statuses (by, status) of SUCCESS, SUCCESS_EMPTY, SKIPPED_BUDGET or a failure: the overall status, and
     whether an empty result may be called no answer (only if every branch succeeded)."""
@@ -122,12 +147,14 @@ def branch_summary(statuses: DataFrame, by: Sequence[str]) -> DataFrame:
     return g.select(*by, overall.alias("overall"), (F.col("ok") == F.col("n")).alias("no_answer_eligible"))
 
 
-def merge_graph(direct: DataFrame, graph: DataFrame, identity: Sequence[str], final: int, strategy: str = "SCORE_THEN_TRUNCATE", append: int = 5, graph_factor: float = 0.85, graph_bias: float = 0.0, query: str = "query_id") -> DataFrame:
+def merge_graph(direct: DataFrame, graph: DataFrame, identity: Sequence[str], final: int, strategy: str = "SCORE_THEN_TRUNCATE", append: int = 5, graph_factor: float = 0.85, graph_bias: float = 0.0, query: str = "query_id", limit_mode: str = "STRICT", top_k: int = 0) -> DataFrame:
     """K14-K16, U07 (CONTRACT): one ranking of direct (query, *identity, score) and graph candidates.
 
     Scores are calibrated, an identity found both ways keeps its direct row with both origins. At least one direct row
-    survives. GRAPH_AS_CONTEXT_APPEND adds at most min(append, final - direct) graph rows behind the direct ones.
+    survives. GRAPH_AS_CONTEXT_APPEND adds at most min(append, final - direct) graph rows behind the direct ones. With limit_mode
+    AT_LEAST_TOP_K the final limit is raised to top_k (INFERRED); STRICT keeps it.
     """
+    final = max(final, top_k) if limit_mode == "AT_LEAST_TOP_K" else final
     identity = list(identity)
     both = direct.select(query, *identity, F.lit("DIRECT").alias("origin"), F.col("score").cast("double").alias("score")).unionByName(graph.select(query, *identity, F.lit("GRAPH").alias("origin"), (F.col("score") * graph_factor + graph_bias).cast("double").alias("score")))
     one = both.groupBy(query, *identity).agg(F.array_sort(F.collect_set("origin")).alias("origins"), F.max("score").alias("top"), F.max(F.when(F.col("origin") == "DIRECT", F.col("score"))).alias("d"))

@@ -21,8 +21,13 @@ from pyspark.sql import DataFrame
 ENDED, OPEN, SPREAD = 3, 9, 3
 #: Words of a phrase that counts as stuffed, its fewest occurrences, and words of the page to each of them.
 PHRASE, TIMES, PER = 2, 3, 100
-#: Share of a unit's words in stuffed phrases from which on it is no clause, and of characters that must be repeated.
-STUFFED, MIN_COVERAGE = 0.5, 0.25
+#: Most words in a row that stuffing leaves between its phrases, if they are no more than a quarter of the unit; more make a clause.
+GAP = 2
+#: Share of a unit's words in stuffed phrases from which on it is no clause, share of characters that must be repeated, and part of
+#: that which is enough where most words outside clauses stand between bars, in links, tags or numbered parts.
+STUFFED, MIN_COVERAGE, LISTED = 0.5, 0.25, 0.5
+#: Width of lines, in characters, that may have been wrapped.
+WRAPPED = (30, 130)
 #: Characters (or words) up to which the automaton is built; beyond, sorted grams give the same measure in less memory.
 AUTOMATON = 1 << 17
 
@@ -36,10 +41,11 @@ _MARK = re.compile(r"(?<!\S)[#@]\w|(?<![\w.,:-])(?:[^\W\d]*-?\d)")
 _TAG = re.compile(r"<[^<>\n]{1,2000}>")
 _LINK_TARGET = re.compile(r"\]\([^()\s]*\)")
 _ADDRESS = re.compile(r"\b(?:https?|ftp)://[^\s<>\"')\]]+|\bwww\.[^\s<>\"')\]]+", re.IGNORECASE)
-_STATEMENT = re.compile(r"\s*(?:[{}]\s*$|(?:let|var|const|for|if|while|return|def|class|function|import|from|select|insert|update|delete|create)\b.*[=(){}<>,;:])|[\w./-]*[_.][\w./-]*\s*[:=]\s*\S+\s*$", re.IGNORECASE)
+_STATEMENT = re.compile(r"\s*(?:[{}]\s*$|(?:let|var|const|for|if|while|return|def|class|function|import|from|select|insert|update|delete|create)\b.*[=(){}<>;:])|[\w./-]*[_.][\w./-]*\s*[:=]\s*\S+\s*$", re.IGNORECASE)
 _CODE_END = re.compile(r"[=(){}\[\]].*[;{}]\s*$|\w\([^()]*\)\s*;?\s*$")
 _CODE_LAST = (";", "{", "}", ")")
 _LOG = re.compile(r"^\W*(?:\d{4}-\d\d-\d\d[T ])?\d\d:\d\d:\d\d\b|^\W*\d{4}-\d\d-\d\d[T ]|^\W*(?:TRACE|DEBUG|INFO|WARN|WARNING|ERROR|FATAL)\b")
+_QUOTE = re.compile(r"^\s*>\s?")
 _LEAD = re.compile(r"^\s*(?:[#>*+•–-]+|\d+[.)])\s+")
 # ends of sentences in many scripts (a blank is one in the joined ones), and the bars and arrows of menus and tables
 _CUT = re.compile(rf"""(?<=[{_JOINED}])\s+(?=[{_JOINED}])|([.!?…][\"'”’»)\]]*)(?=\s)|([。！？؟।۔։။។])|\s[|>»·•→/]+\s|\|""")
@@ -148,9 +154,9 @@ def chance_length(n: int) -> int:
 class Unit:
     """A stretch of a line between ends of sentences, or bars; its words, and whether it has the shape of a clause."""
 
-    __slots__ = ("clause", "n", "name", "raw", "words")
+    __slots__ = ("clause", "listed", "n", "name", "raw", "words")
 
-    def __init__(self, raw: str) -> None:
+    def __init__(self, raw: str, barred: bool = False) -> None:
         self.raw = plain = raw
         links = addresses = 0
         if "<" in raw or "](" in raw or "://" in raw or "www." in raw:
@@ -165,27 +171,53 @@ class Unit:
             shown += len(_MARK.findall(plain))
         if " -" in plain or " /" in plain or not plain_ascii:
             shown += len(_DASH.findall(plain))
+        self.listed = barred or SPREAD * shown > n
         self.clause = SPREAD * shown <= n and n >= ENDED and (n >= OPEN or bool(_END.search(plain[-12:])))
 
 
+def _unwrapped(lines: list[str]) -> list[str]:
+    """Lines that were broken to a width put together again: each but the last is so long that the next line's first word would
+    not have found room in it, and the last one ends a sentence."""
+    if len(lines) < 2:
+        return lines
+    bare = [_QUOTE.sub("", x, count=1) for x in lines]
+    width = max(map(len, bare[1:-1] or bare))  # other text may stand before the first and after the last
+    if WRAPPED[0] <= width <= WRAPPED[1] and _END.search(bare[-1]) and all(len(x) + 1 + len(y.split(None, 1)[0] if y.strip() else "") > width for x, y in zip(bare, bare[1:], strict=False)):
+        return [" ".join(bare)]
+    return lines
+
+
 def units(text: str) -> tuple[list[Unit], int]:
     """The units of a page, and the number of words in its code and log lines."""
     out: list[Unit] = []
+    run: list[str] = []
     apart, fenced = 0, False
+
+    def close() -> None:
+        for line in _unwrapped(run):
+            at, barred = 0, False
+            line = _LEAD.sub("", line, count=1)
+            for m in (_PLAIN_CUT if line.isascii() else _CUT).finditer(line):
+                bar = not m.lastindex and not m[0].isspace()
+                if part := line[at : m.end(m.lastindex) if m.lastindex else m.start()].strip():
+                    out.append(Unit(part, barred or bar))
+                at, barred = m.end(), bar
+            if part := line[at:].strip():
+                out.append(Unit(part, barred))
+        run.clear()
+
     for line in text.split("\n"):
         fence = "```" in line or "~~~" in line
         if fenced or fence or _LOG.match(line) or _code(line):
+            close()
             apart += len(_WORD.findall(line))
+        elif not line.strip() or _LEAD.match(line) and not _QUOTE.match(line):
+            close()
+            run += [line] if line.strip() else []
         else:
-            at = 0
-            line = _LEAD.sub("", line, count=1)
-            for m in (_PLAIN_CUT if line.isascii() else _CUT).finditer(line):
-                if part := line[at : m.end(m.lastindex) if m.lastindex else m.start()].strip():
-                    out.append(Unit(part))
-                at = m.end()
-            if part := line[at:].strip():
-                out.append(Unit(part))
+            run.append(line)
         fenced ^= fence
+    close()
     return out, apart
 
 
@@ -195,6 +227,15 @@ def _code(line: str) -> bool:
     return bool(_STATEMENT.match(line) or line.rstrip()[-1:] in _CODE_LAST and _CODE_END.search(line))
 
 
+def _longest_gap(marked: Sequence[bool]) -> int:
+    """The most words in a row that no stuffed phrase covers."""
+    longest = now = 0
+    for m in marked:
+        now = 0 if m else now + 1
+        longest = max(longest, now)
+    return longest
+
+
 def _stuffed(parts: list[Unit], n: int, outside: int) -> set[str]:
     """The words of the clause-shaped units that stuffed phrases cover. A sentence that stands there twice is still a
     sentence, other numbers in it or not: each counts once among the occurrences of phrases."""
@@ -215,31 +256,33 @@ def _stuffed(parts: list[Unit], n: int, outside: int) -> set[str]:
     marked, at = covered(seq, PHRASE, times), 0
     out = set()
     for name, u in clauses.items():
-        if sum(marked[at : at + len(u.words)]) >= STUFFED * len(u.words):
+        own = marked[at : at + len(u.words)]
+        if sum(own) >= STUFFED * len(own) and _longest_gap(own) <= max(GAP, len(own) // 4):
             out.add(name)
         at += len(u.words) + 1
     return out
 
 
-def page_measures(text: str | None) -> tuple[int, int, float]:
-    """(words, words outside clauses, repeated share of their characters). The last is measured only where
-    it can matter, that is for more than half of the words, and 0 elsewhere."""
+def page_measures(text: str | None) -> tuple[int, int, float, bool]:
+    """(words, words outside clauses, repeated share of their characters, whether most of them are listed). The last two are
+    measured only where they can matter, that is for more than half of the words."""
     if not text:
-        return 0, 0, 0.0
+        return 0, 0, 0.0, False
     parts, apart = units(text)
     n = apart + sum(u.n for u in parts)
     outside = sum(u.n for u in parts if not u.clause)
     stuffed = _stuffed(parts, n, outside)
     outside += sum(u.n for u in parts if u.clause and u.name in stuffed)
     if 2 * outside <= n:
-        return n, outside, 0.0
-    kept = _SPACE.sub(" ", _DIGITS.sub("0", "\n".join(u.raw for u in parts if not u.clause or u.name in stuffed))).casefold()
-    return n, outside, repeated_coverage(kept, chance_length(len(kept)))
+        return n, outside, 0.0, False
+    free = [u for u in parts if not u.clause or u.name in stuffed]
+    kept = _SPACE.sub(" ", _DIGITS.sub("0", "\n".join(u.raw for u in free))).casefold()
+    return n, outside, repeated_coverage(kept, chance_length(len(kept))), 2 * sum(u.n for u in free if u.listed) > outside
 
 
-def is_spam(measures: tuple[int, int, float], min_coverage: float = MIN_COVERAGE) -> bool:
-    n, outside, coverage = measures
-    return 2 * outside > n and coverage >= min_coverage
+def is_spam(measures: tuple[int, int, float, bool], min_coverage: float = MIN_COVERAGE) -> bool:
+    n, outside, coverage, listed = measures
+    return 2 * outside > n and coverage >= min_coverage * (LISTED if listed else 1)
 
 
 def spam_pages(pages: DataFrame, key: str = "doc_id", text: str = "text", min_coverage: float = MIN_COVERAGE) -> DataFrame:

@@ -43,6 +43,18 @@ def test_prose_of_any_language_is_no_spam():
             assert not sp.is_spam(m), (name, m)
 
 
+def test_wrapped_prose_repeated_openings_and_menus():
+    import textwrap
+
+    prose = "The old index keeps all of its entries in memory and is written to disk when the night job ends. Nobody knows which copy was read first. Three people looked at the second one before the update came through on Monday evening."
+    wrapped = "\n".join(textwrap.wrap(prose, 56))
+    for t in (wrapped, "\n".join("> " + x for x in wrapped.split("\n")), "Note\n\n" + wrapped + "\n\nEnd"):
+        assert not spam(t), t
+    assert not spam("All frozen boards override our plans for the north desk. All frozen boards block every transfer made. All frozen boards come before these meetings.")
+    assert spam("\n".join(f"Home > Part{chr(97 + i % 5)} > Area{chr(97 + i % 7)} > Map" for i in range(12))) and spam("\n".join(f"SKU-{100 + i} late boards free {'XL' if i % 2 else 'S'}" for i in range(20)))
+    assert not spam("Los temas") and not spam("One title of a page")
+
+
 def test_repeated_coverage_equals_brute_force():
     rng = random.Random(4)
     for _ in range(120):

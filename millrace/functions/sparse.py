@@ -1,12 +1,20 @@
-"""Sparse encoding of exact technical tokens (T09-T17), set at a time: tokens are extracted by built-in regular
-expressions, exploded and weighted by aggregations, so no row ever leaves the JVM."""
+"""Sparse encoding of exact technical tokens (T09-T17). token_rows extracts tokens set at a time by built-in regular
+expressions. encode makes whole vectors on Arrow batches: no token spans white space, so the tokens of a word are found once
+and kept, and neither words nor tokens are exploded or shuffled."""
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
+import unicodedata
+from collections.abc import Iterator, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from millrace.functions.text import sparse_index, stem
+from millrace.functions.text import SPARSE_NAMESPACE, sparse_index, stem
 
 # Classes of technical tokens with their patterns and base weights.
 CLASSES = {
@@ -65,9 +73,152 @@ def term_weights(texts: DataFrame, key: list[str], text: str, min_weight: float
     return w.where(F.col("weight") > min_weight).groupBy(*key, "index").agg(F.sum("weight").alias("weight"))
 
 
-def encode(texts: DataFrame, key: list[str], text: str, min_weight: float = 0.0, max_non_zero: int = 512) -> DataFrame:
-    """Sparse vectors: (*key, indices, values) at length 1 (before they are cut to the heaviest max_non_zero), ascending."""
-    return vectors(term_weights(texts, key, text, min_weight), key, max_non_zero)
+_PATTERNS = [(name, re.compile(p), w) for name, (p, w) in CLASSES.items()]
+_STOP = frozenset(STOP_WORDS)
+#: Words worked on at a time; words, and characters of words, whose tokens are kept.
+WORDS, KEPT, KEPT_CHARS = 1 << 18, 1 << 18, 1 << 24
+
+
+def _stem(word: str) -> str:
+    """text.stem for one word."""
+    n = len(word)
+    if n > 5 and word.endswith("ies"):
+        return word[:-3] + "y"
+    return next((word[: -len(x)] for x in ("ing", "ed", "es", "s") if n > len(x) + 3 and word.endswith(x)), word)
+
+
+def _shadow(word: str) -> str:
+    """The word with other characters that bound the same: Java's Unicode \\w and Python's differ in marks and number signs.
+    Characters that tokens may hold (ASCII and decimal digits) stay. Only characters newer than the JVM's Unicode may differ."""
+
+    def shown(c: str) -> str:
+        kind = unicodedata.category(c)
+        if c < "\x80" or kind == "Nd":
+            return c
+        letter = kind[0] in "LM" or kind in ("Nl", "Pc") or c in "\u200c\u200d" or "\u24b6" <= c <= "\u24e9" or "\U0001f130" <= c <= "\U0001f189" and kind == "So" and not ("\U0001f14a" <= c <= "\U0001f14f" or "\U0001f16a" <= c <= "\U0001f16f")
+        return "\u00e9" if letter else "\u00a7"
+
+    return word if word.isascii() else "".join(map(shown, word))
+
+
+def word_tokens(word: str) -> list[tuple[str, str]]:
+    """(class, token) of a word without white space, as token_rows gives them."""
+    out = []
+    text = _shadow(word)
+    for name, pattern, _ in _PATTERNS:
+        for raw in pattern.findall(text):
+            raw = raw.strip(" \t\n\v\f\r,;:()[]{}\"'")
+            low = raw.lower()
+            token = low if name in ("ordinary_word", "uuid") else raw
+            if not token or name == "ordinary_word" and token in _STOP:
+                continue
+            out.append((name, token))
+            if name == "ordinary_word":
+                s = _stem(token)
+                if s != token and s not in _STOP:
+                    out.append((name, s))
+            if name in _FOLDED and low != token:
+                out.append((name, low))
+            parts = low.split("_") if name == "underscore_identifier" else low.split("/") if name == "path" else token.split("/") if name == "grpc_method" else ()
+            out += [(name, p) for p in parts if len(p.encode()) >= 2 and p != token]
+    return out
+
+
+class Encoder:
+    """Vectors of texts; the tokens of the words met so far are kept, up to a bound."""
+
+    def __init__(self, min_weight: float, max_non_zero: int) -> None:
+        self.min_weight, self.most = min_weight, max_non_zero
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words: dict[str, int] = {}
+        self.terms: dict[tuple[str, str], int] = {}
+        self.index, self.base, self.of, self.ends, self.chars, self.arrays = [], [], [], [0], 0, None
+
+    def _new(self, word: str) -> int:
+        for term in word_tokens(word):
+            if (at := self.terms.get(term)) is None:
+                at = self.terms[term] = len(self.index)
+                self.index.append(1_000_000_000 + int.from_bytes(hashlib.sha256(f"{SPARSE_NAMESPACE}{term[0]}:{term[1]}".encode()).digest()[:4]) % 1_000_000_000)
+                self.base.append(CLASSES[term[0]][1])
+            self.of.append(at)
+        self.ends.append(len(self.of))
+        self.chars += len(word)
+        self.arrays = None
+        n = self.words[word] = len(self.words)
+        return n
+
+    def encode(self, texts: Sequence[str | None]) -> Iterator[tuple]:
+        """(rows, counts, indices, values), for one stretch of texts after another: rows are positions of the texts with
+        tokens, counts the lengths of their vectors, which lie one behind the other."""
+        ids: list[int] = []
+        sizes: list[int] = []
+        first = 0
+        for at, t in enumerate(texts):
+            words, n = self.words, len(ids)
+            for w in (t or "").split():
+                i = words.get(w)
+                ids.append(self._new(w) if i is None else i)
+            sizes.append(len(ids) - n)
+            if len(ids) >= WORDS or at == len(texts) - 1:
+                yield self._vectors(ids, sizes, first)
+                ids, sizes, first = [], [], at + 1
+                if len(self.words) > KEPT or self.chars > KEPT_CHARS:
+                    self._forget()
+
+    def _vectors(self, ids: list[int], sizes: list[int], first: int) -> tuple:
+        import numpy as np
+
+        if self.arrays is None:
+            self.arrays = np.array(self.of, np.int64), np.array(self.ends, np.int64), np.array(self.index, np.int64), np.array(self.base, np.float64)
+        of, ends, index, base = self.arrays
+        word = np.array(ids, np.int64)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        n = ends[word + 1] - ends[word]
+        term = of[np.repeat(ends[word] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        both = np.sort(np.repeat(row, n) * len(base) + term)  # a row and a term
+        start = np.flatnonzero(np.r_[True, both[1:] != both[:-1]][: len(both)])
+        tf = np.diff(np.r_[start, len(both)])
+        row, term = np.divmod(both[start], max(1, len(base)))
+        logs = np.array([0.0, *(1 + math.log(x) for x in range(1, int(tf.max(initial=0)) + 1))])
+        weight = base[term] * logs[tf]
+        keep = weight > self.min_weight
+        key, weight = (row[keep] << 32) | index[term[keep]], weight[keep]
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], weight[order]
+        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        if len(start) < len(key):
+            key, weight = key[start], np.add.reduceat(weight, start)
+        row = key >> 32
+        value = weight / np.sqrt(np.bincount(row, weights=weight * weight, minlength=len(sizes)))[row]
+        counts = np.bincount(row, minlength=len(sizes))
+        if (counts > self.most).any():
+            at, n = np.lexsort((key, -value, row)), np.cumsum(counts) - counts
+            kept = np.sort(at[np.arange(len(row)) - n[row] < self.most])
+            key, value, counts = key[kept], value[kept], np.minimum(counts, self.most)
+        rows = np.flatnonzero(counts)
+        return rows + first, counts[rows], key & 0xFFFFFFFF, value
+
+
+def encode(texts: DataFrame, key: list[str], text: str, min_weight: float = 0.0, max_non_zero: int = 512, unique: bool = False) -> DataFrame:
+    """Sparse vectors: (*key, indices, values) at length 1 (before they are cut to the heaviest max_non_zero), ascending.
+    Texts of one key count together, and texts without tokens give no row. With unique, every key has one row, and nothing is shuffled."""
+    rows = texts.select(*key, F.col(text).alias("text_")) if unique else texts.groupBy(*key).agg(F.array_join(F.collect_list(text), "\n").alias("text_"))
+    schema = T.StructType([*rows.select(*key).schema, T.StructField("indices", T.ArrayType(T.LongType())), T.StructField("values", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        encoder = Encoder(min_weight, max_non_zero)
+        for b in batches:
+            for at, counts, indices, values in encoder.encode(b.column(len(key)).to_pylist()):
+                ends = pa.array(np.r_[0, np.cumsum(counts)], pa.int32())
+                vectors_ = [pa.ListArray.from_arrays(ends, pa.array(x)) for x in (indices, values)]
+                yield pa.record_batch([*[b.column(j).take(pa.array(at)) for j in range(len(key))], *vectors_], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def vectors(weights: DataFrame, key: list[str], max_non_zero: int = 512) -> DataFrame:

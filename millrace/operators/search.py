@@ -8,32 +8,42 @@ Scores are compared at six decimals and ties go to the smaller key, so results d
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Callable, Iterator, Sequence
+from itertools import repeat
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from millrace.storage import write_work
+
 #: Queries in a block, rows scored at a time, and the resolution of scores.
 BLOCK, SLICE, SCALE = 1024, 2048, 1_000_000
+#: Sparse queries in a block (one counts for each so many terms), and rows kept for them; rows, and queries, whose inner
+#: products are made at a time.
+SPARSE_BLOCK, SPARSE_TERMS, SPARSE_KEPT, SPARSE_ROWS, SPARSE_QUERIES = 16384, 64, 1 << 18, 64, 2048
 
 
-def _blocks(queries: DataFrame, key: str, block: int) -> Iterator[list]:
-    """The rows of queries in blocks of about `block` rows, each read by itself: no task or driver holds more than one."""
-    n = queries.count()
+def _blocks(queries: DataFrame, key: str, block: int, load: Column | None = None) -> Iterator[tuple[int, list]]:
+    """The number of blocks, and the rows of queries in blocks of about `block` rows, each read by itself: no task or driver
+    holds more than one. load says for how many rows a row counts."""
+    n = queries.count() if load is None else math.ceil(queries.agg(F.sum(load)).first()[0] or 0)
     parts = -(-n // block)
     for p in range(parts):
         rows = (queries if parts == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(parts)) == p)).collect()
         if rows:
-            yield sorted(rows, key=lambda r: r[0])
+            yield parts, sorted(rows, key=lambda r: r[0])
 
 
-def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], queries: DataFrame, query_key: str, prepare: Callable, score: Callable, k: int, least: float | None = None, block: int = BLOCK, by: Sequence[str] = ()) -> DataFrame:
+def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], queries: DataFrame, query_key: str, prepare: Callable, score: Callable, k: int, least: float | None = None, block: int = BLOCK, by: Sequence[str] = (), pieces: Callable | None = None, load: Column | None = None, once: bool = False) -> DataFrame:
     """(query_key, *keys, score, rank): for each query the k rows with the greatest score.
 
     prepare(rows) makes the state of a block of query rows; score(state, columns) gives a matrix of rows by
     queries for the input columns of a slice, with -inf where a row is no candidate. Scores below least are no results.
     by names keys that tell queries of one query_key apart: all rows of a query have the same values there.
+    pieces(state, columns, limit), in place of score, yields (rows, queries, matrix) and may leave out what cannot reach
+    limit, each query's least scaled score so far. load: as in _blocks. once: the corpus is costly to make, so several blocks share a written copy.
     """
     keys = list(keys)
     fields = {f.name: f.dataType.simpleString() for f in corpus.schema}
@@ -44,6 +54,13 @@ def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], que
     floor = None if least is None else round(least * SCALE)
     qtype = queries.schema[query_key].dataType
 
+    def slices(state, cols, limit):
+        import numpy as np
+
+        for at in range(0, len(cols[0]), SLICE):
+            s = score(state, [c.slice(at, SLICE) for c in cols])
+            yield np.arange(at, at + len(s)), np.arange(len(limit)), s
+
     def mapped(shared):
         def run(batches: Iterator) -> Iterator:
             import numpy as np
@@ -57,17 +74,16 @@ def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], que
             for b in batches:
                 ktypes = [b.column(j).type for j in range(len(keys))]
                 names = list(zip(*[b.column(j).to_pylist() for j in range(len(keys))], strict=True))
-                for at in range(0, b.num_rows, SLICE):
-                    s = score(state, [b.column(len(keys) + j).slice(at, SLICE) for j in range(len(inputs))])
+                for at, cs, s in (pieces or slices)(state, [b.column(len(keys) + j) for j in range(len(inputs))], limit):
                     none = ~np.isfinite(s)
                     q = np.rint(np.where(none, 0, s) * SCALE).astype(np.int64)
                     q[none] = np.iinfo(np.int64).min
-                    for c in np.flatnonzero(((q >= limit) & ~none).any(axis=0)):
-                        col = q[:, c]
-                        (hit,) = np.nonzero((col >= limit[c]) & ~none[:, c])
+                    for j in np.flatnonzero(((q >= limit[cs]) & ~none).any(axis=0)):
+                        c, col = cs[j], q[:, j]
+                        (hit,) = np.nonzero((col >= limit[c]) & ~none[:, j])
                         if len(hit) > 4 * k:  # only the k greatest of a slice, and their ties, can matter
                             hit = hit[col[hit] >= np.partition(col[hit], len(hit) - k)[len(hit) - k]]
-                        best[c] = heapq.nsmallest(k, [*best[c], *((-int(col[i]), names[at + i]) for i in hit)])
+                        best[c] = heapq.nsmallest(k, [*best[c], *((-int(col[i]), names[at[i]]) for i in hit)])
                         if len(best[c]) == k:
                             limit[c] = max(limit[c], -best[c][-1][0])
             out = [(ids[c], *name, -v / SCALE) for c, rows_ in enumerate(best) for v, name in rows_]
@@ -77,7 +93,9 @@ def best_rows(corpus: DataFrame, keys: Sequence[str], inputs: Sequence[str], que
 
         return run
 
-    for rows_ in _blocks(queries, query_key, block):
+    for parts, rows_ in _blocks(queries, query_key, block, load):
+        if once and parts > 1:
+            rows, once = write_work(rows, "corpus"), False
         shared = spark.sparkContext.broadcast(([r[query_key] for r in rows_], prepare(rows_)))
         found = found.unionByName(rows.mapInArrow(mapped(shared), schema))
     w = Window.partitionBy(query_key, *by).orderBy(F.col("score").desc(), *keys)
@@ -137,24 +155,75 @@ def _postings(rows, ids, weights):
     return len(rows), {t: (np.array([c for c, _ in p]), np.array([w for _, w in p])) for t, p in by.items()}
 
 
-def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, keys: Sequence[str], block: int = BLOCK) -> DataFrame:
-    """The k rows with the greatest inner product of (indices, values); empty vectors match nothing."""
+def _sparse_state(rows):
+    """The queries' entries, one query behind the other: (queries, terms, ascending), then each entry's query, place of its
+    term and weight, and the first entry and number of entries of each query."""
+    import numpy as np
 
-    def score(state, cols):
-        import numpy as np
+    entries = lambda j: (e[j] for c, r in enumerate(rows) for e in zip(repeat(c), r["indices"], r["values"]) if e[1] is not None)  # noqa: B905, E731
+    of, ids, w = np.fromiter(entries(0), np.int64), np.fromiter(entries(1), np.int64), np.fromiter(entries(2), np.float64)
+    terms, at = np.unique(ids, return_inverse=True)
+    size = np.bincount(of, minlength=len(rows))
+    return len(rows), terms, of, at, w, np.cumsum(size) - size, size
 
-        n, by = state
-        ids, values = cols[0].to_pylist(), cols[1].to_pylist()
-        out = np.full((len(ids), n), -np.inf)
-        for i, (ts, ws) in enumerate(zip(ids, values, strict=True)):
-            hit = [(by[t], w) for t, w in zip(ts or (), ws or (), strict=True) if t in by]
-            if hit:
-                s = np.bincount(np.concatenate([p[0] for p, _ in hit]), weights=np.concatenate([p[1] * w for p, w in hit]), minlength=n)
-                out[i] = np.where(s > 0, s, -np.inf)
-        return out
 
+def _sparse_pieces(state, cols, limit):
+    """Inner products of slices of rows, those with the greatest values first, with the queries that a row of the slice may
+    bring over their limit: the greatest values of the slice, term by term, bound what its rows can reach."""
+    import numpy as np
+
+    n, terms, of, at, w, first, size = state
+    finite = np.isfinite(w).all()
+    lengths, others = (c.value_lengths().fill_null(0).to_numpy(zero_copy_only=False) for c in cols)
+    if (lengths != others).any():
+        raise ValueError("indices and values differ in length")
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    ids, values = (c.flatten() for c in cols)
+    ids = np.asarray(ids.fill_null(-(2**63)), np.int64)
+    values = np.asarray(values.to_numpy(zero_copy_only=False), np.float64)
+    place = np.minimum(np.searchsorted(terms, ids), max(0, len(terms) - 1))
+    have = terms[place] == ids if len(terms) else np.zeros(len(ids), bool)
+    row, place, values = row[have], place[have], values[have]
+    most = np.zeros(len(lengths))
+    np.maximum.at(most, row, np.abs(values))
+    ranked = np.argsort(-most, kind="stable")
+    rank = np.empty_like(ranked)
+    rank[ranked] = np.arange(len(ranked))
+    order = np.argsort(rank[row], kind="stable")
+    row, place, values = rank[row][order], place[order], values[order]
+    for lo in range(0, len(lengths), SPARSE_ROWS):
+        a, z = np.searchsorted(row, [lo, lo + SPARSE_ROWS])
+        if a == z:
+            continue
+        names = ranked[lo : lo + SPARSE_ROWS]
+        here, local = np.unique(place[a:z], return_inverse=True)
+        # values by term and row; the last line stands for terms that no row has
+        table = np.bincount(local * len(names) + row[a:z] - lo, weights=values[a:z], minlength=(len(here) + 1) * len(names)).reshape(-1, len(names))
+        line = np.full(len(terms), len(here))
+        line[here] = np.arange(len(here))
+        line = line[at]
+        with np.errstate(invalid="ignore"):
+            reach = np.bincount(of, weights=np.where(w > 0, w * table.max(axis=1)[line], w * table.min(axis=1)[line]), minlength=n)
+        can = np.flatnonzero(~(reach <= 0) & ~(reach * SCALE + 1 < limit))
+        can = can[np.argsort(-size[can], kind="stable")]
+        for p in range(0, len(can), SPARSE_QUERIES):
+            cs = can[p : p + SPARSE_QUERIES]
+            s = np.zeros((len(cs), len(names)))
+            for j in range(size[cs[0]]):
+                e = first[cs[: np.count_nonzero(size[cs] > j)]] + j
+                with np.errstate(invalid="ignore"):
+                    part = table[line[e]] * w[e][:, None]
+                s[: len(e)] += part if finite else np.where(table[line[e]] == 0, 0, part)
+            yield names, cs, np.where(s > 0, s, -np.inf).T
+
+
+def sparse_topk(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, keys: Sequence[str], block: int | None = None, once: bool = False) -> DataFrame:
+    """The k rows with the greatest inner product of (indices, values); empty vectors match nothing.
+
+    Whatever cannot reach the k best so far is left out by an exact bound. once: as in best_rows."""
     q = queries.where(F.size("indices") > 0).select(query_key, "indices", "values")
-    return best_rows(corpus, keys, ["indices", "values"], q, query_key, lambda rows: _postings(rows, "indices", "values"), score, k, None, block)
+    block = block or max(1, min(SPARSE_BLOCK, SPARSE_KEPT // k))
+    return best_rows(corpus, keys, ["indices", "values"], q, query_key, _sparse_state, None, k, None, block, pieces=_sparse_pieces, load=F.greatest(F.lit(1.0), F.size("indices") / SPARSE_TERMS), once=once)
 
 
 def lexical_topk(queries: DataFrame, corpus: DataFrame, k: int, query_key: str, keys: Sequence[str], text: str = "text", block: int = BLOCK) -> DataFrame:

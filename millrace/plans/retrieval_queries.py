@@ -48,9 +48,9 @@ def _titles(spark: SparkSession, d: str) -> DataFrame:
 
 def search_sparse(spark: SparkSession, d: str) -> DataFrame:
     """The titles of the stated documents against all chunks, by their technical and ordinary tokens."""
-    q = sparse.encode(_titles(spark, d), ["query_id"], "text")
-    c = sparse.encode(views.chunks(spark, d).where("content IS NOT NULL"), _ID, "content")
-    return search.sparse_topk(q, c, 10, "query_id", _ID)
+    q = sparse.encode(_titles(spark, d), ["query_id"], "text", unique=True)
+    c = sparse.encode(views.chunks(spark, d).where("content IS NOT NULL"), _ID, "content", unique=True)
+    return search.sparse_topk(q, c, 10, "query_id", _ID, once=True)
 
 
 def search_lexical(spark: SparkSession, d: str) -> DataFrame:

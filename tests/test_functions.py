@@ -2,6 +2,7 @@ import math
 import re
 import uuid
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from millrace.functions import querytext, sparse, text, vectors
@@ -77,6 +78,28 @@ def test_sparse_tokens_equal_brute_force(spark):
     assert math.isclose(sum(x * x for x in full["values"]), 1.0, rel_tol=1e-9)
 
 
+def test_vectors_of_words_equal_those_of_exploded_tokens(spark):
+    odd = [f"ab{c}cd{c}12{c}34 {c}{c}{c} v1{c} X_{c}_Y_z 1.2.3.{c} foo-{c}1 /a{c}b/c" for c in [chr(i) for i in (*range(1, 0x250), *range(0x2000, 0x2500))] + ["\u0301", "\u0661", "\u2167", "\u24b6", "\u200d", "\u203f", "\U0001f130", "\U0001f14a", "\U0001d7d9", "\u4e2d"]]
+    texts = [*odd, None, "", "the of and", "word " * 3000, "".join(f"t{i} Z_{i}y " for i in range(900)), "ERR-1 ERR-1 err-1", "/" * 70 + "a" * 5000]
+    d = spark.createDataFrame([(i % (len(texts) - 3), t) for i, t in enumerate(texts)], "i int, t string")  # three keys have two texts
+    for min_weight, most in ((0.0, 512), (2.1, 3)):
+        want = {r.i: r for r in sparse.vectors(sparse.term_weights(d, ["i"], "t", min_weight), ["i"], most).collect()}
+        got = {r.i: r for r in sparse.encode(d, ["i"], "t", min_weight, most).collect()}
+        assert got.keys() == want.keys() and all(got[i].indices == want[i].indices and np.allclose(got[i]["values"], want[i]["values"], rtol=1e-12) for i in want)
+
+
+def test_kept_words_are_bounded(monkeypatch):
+    texts = [None, "", *(f"w{i} common word{i % 7} 10.0.0.{i}" for i in range(200)), ""]
+    flat = lambda parts: [(int(i), ids, values) for rows, counts, index, value in parts for i, ids, values in zip(rows, np.split(index, np.cumsum(counts)), np.split(value, np.cumsum(counts)))]  # noqa: B905, E731
+    want = flat(sparse.Encoder(0.0, 512).encode(texts))
+    monkeypatch.setattr(sparse, "WORDS", 10)
+    monkeypatch.setattr(sparse, "KEPT", 12)
+    small = sparse.Encoder(0.0, 512)
+    got = flat(small.encode(texts))
+    assert len(small.words) <= 30 and [x[0] for x in got] == [x[0] for x in want] == list(range(2, 202))
+    assert all((a[1] == b[1]).all() and np.allclose(a[2], b[2], rtol=1e-12) for a, b in zip(got, want, strict=True))
+
+
 def test_learned_weights(spark):
     d = spark.createDataFrame([(1, [5, 5, 7, 8, 9, 0], [0.5, 0.9, 0.1, float("nan"), 2.0, 3.0], [1, 1, 1, 1, 0, 1])], "k int, i array<int>, w array<double>, m array<int>")
     assert {(r["index"], r.weight) for r in sparse.learned_weights(d, ["k"], "i", "w", "m", [0], 0.2).collect()} == {(5, 0.9)}

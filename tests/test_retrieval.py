@@ -50,6 +50,27 @@ def test_sparse_and_lexical_search(spark):
     assert [(r.id, r.score) for r in got] == [(1, 2.0), (6, 2.0), (2, 1.0)]
 
 
+def test_sparse_search_equals_brute_force_whatever_the_blocks(spark):
+    rng = random.Random(3)
+    vector = lambda: {t: rng.choice([0.125, 0.25, 0.5, 1.0, -0.5]) for t in rng.sample(range(40), rng.randint(0, 9))}
+    c, q = [vector() for _ in range(700)], [vector() for _ in range(30)]
+    frame = lambda vs, key: spark.createDataFrame([(i, list(v), list(v.values())) for i, v in enumerate(vs)], f"{key} long, indices array<long>, values array<double>")
+    want = {}
+    for a, x in enumerate(q):
+        scores = [(-sum(w * y.get(t, 0) for t, w in x.items()), b) for b, y in enumerate(c)]
+        want |= {(a, rank + 1): (b, -s) for rank, (s, b) in enumerate(sorted(p for p in scores if p[0] < 0)[:4])}
+    for block, parts, once in ((None, 1, False), (7, 5, True)):
+        got = search.sparse_topk(frame(q, "q"), frame(c, "id").repartition(parts), 4, "q", ["id"], block=block, once=once).collect()
+        assert {(r.q, r["rank"]): (r.id, r.score) for r in got} == want and len(got) == len(want)
+
+
+def test_the_sparse_query_explodes_no_tokens(spark, sf):
+    import __spark_entry__ as e
+
+    plan = e.queries()["search_sparse"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan  # tokens are not exploded
+
+
 def test_neighbours_respects_the_group_limit(spark):
     rows = [("a", i, [1.0, i / 10]) for i in range(5)] + [("b", i, [1.0, 0.0]) for i in range(9)] + [("c", 1, None), ("c", 2, [0.0, 0.0])]
     d = spark.createDataFrame(rows, "g string, k long, v array<float>")
